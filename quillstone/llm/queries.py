@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, mixing, ppm, simhash
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash}
+    return {
+        "op4_simhash": simhash.op4_simhash,
+        "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_ppm": ppm.op10_ppm,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
