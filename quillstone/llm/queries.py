@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ppm, simhash
+from . import bpe, media_avi, mixing, ppm, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_media": media_avi.op2_media,
         "op4_simhash": simhash.op4_simhash,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
