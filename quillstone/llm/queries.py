@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media_avi, mixing, ppm, simhash, suffix_dedup
+from . import bpe, media_avi, mixing, ppm, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_media": media_avi.op2_media,
         "op4_simhash": simhash.op4_simhash,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
         "op10_ppm": ppm.op10_ppm,
