@@ -213,7 +213,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """``docs`` with the words that the mix takes of each row."""
         uses = self.slots.groupBy("rank", "block", "words").agg(F.count("*").alias("uses"))
-        met = self.pieces().join(uses, ["rank", "block"])
+        met = self.pieces().join(uses.hint("merge"), ["rank", "block"])  # a range's size says nothing of its slots
         words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at"))
         sums = met.groupBy("rank", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
         some = self.docs.where("size > 0").join(sums, ["rank", "start"], "left")
