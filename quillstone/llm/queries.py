@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media_avi, mixing, ppm, simhash, suffix_dedup, toxicity
+from . import ann, bpe, media_avi, mixing, ppm, simhash, suffix_dedup, toxicity, url_graph
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_url_graph": url_graph.op7_url_graph,
+        "op8_nn_descent": ann.op8_nn_descent,
         "op9_mixing": mixing.op9_mixing,
         "op10_ppm": ppm.op10_ppm,
     }
