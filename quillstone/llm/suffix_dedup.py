@@ -217,8 +217,19 @@ def _spans(at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return of[first], at[first], at[np.append(first[1:], len(at)) - 1]
 
 
-def shard_repeats(regions: DataFrame, length: int) -> DataFrame:
-    """hash, digest, a, b: stretches of repeated windows; or, with ``mark``, one window that other shards may have.
+FOUND = "hash long, digest long, a long, b long, range int, block array<binary>"
+
+
+def _block(spans: dict, blocks: list) -> pa.RecordBatch:
+    n, m = len(spans["a"]), len(blocks)
+    late = np.arange(n + m) >= n
+    arrays = [pa.array(np.concatenate([x, np.zeros(m, np.int64)]), mask=late) for x in spans.values()]
+    arrays += [pa.array([None] * n + [r for r, _ in blocks], pa.int32()), pa.array([None] * n + [x for _, x in blocks], pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(arrays, [*spans, "range", "block"])
+
+
+def shard_repeats(regions: DataFrame, length: int, ranges: int) -> DataFrame:
+    """hash, digest, a, b: stretches of repeated windows; or range, block: sorted marks of windows that other shards may have.
 
     ``regions``: hash, part, parts, digest, m, n, region; the rows of one hash and part meet in one task, in order.
     """
@@ -233,27 +244,21 @@ def shard_repeats(regions: DataFrame, length: int) -> DataFrame:
         again = np.bincount(kind, minlength=1)[kind] > 1
         hit = again | (m[of] > 1)
         k, a, b = _spans(at[hit], of[hit])
-        # Of a split anchor, one window of each class goes on to the merge.
+        hashes, digests = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        spans = {"hash": hashes[k], "digest": digests[k], "a": a, "b": b}
+        # Of a split anchor, one window of each class goes on to the merge, in sorted blocks, one for each range of marks.
         _, first = np.unique(kind, return_index=True)
         first = first[split[of[first]]]
-        mark = np.zeros(0, np.uint64)
-        if len(first):
-            sizes = np.array([len(r[6]) for r in rows])
-            start = (np.cumsum(sizes) - sizes)[of[first]] + at[first]
-            mark = Hasher(np.frombuffer(b"".join(r[6] for r in rows), np.uint8), 1).of(start, start + length)
-        hashes, digests = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-        every = np.concatenate([k, of[first]])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes[every]),
-                pa.array(digests[every]),
-                pa.array(np.concatenate([a, at[first]])),
-                pa.array(np.concatenate([b, at[first]])),
-                pa.array(np.concatenate([np.zeros(len(k), np.int64), mark.view(np.int64)]), mask=np.arange(len(every)) < len(k)),
-                pa.array(np.concatenate([np.ones(len(k), bool), hit[first]])),
-            ],
-            ["hash", "digest", "a", "b", "mark", "known"],
-        )
+        if not len(first):
+            return _block(spans, [])
+        sizes = np.array([len(r[6]) for r in rows])
+        start = (np.cumsum(sizes) - sizes)[of[first]] + at[first]
+        mark = Hasher(np.frombuffer(b"".join(r[6] for r in rows), np.uint8), 1).of(start, start + length)
+        first = first[np.argsort(mark)]
+        mark.sort()
+        edges = np.searchsorted(mark, (np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)))
+        packed = [mark, hashes[of[first]], digests[of[first]], at[first], hit[first].astype(np.int64)]
+        return _block(spans, [(n, [x[i:j].tobytes() for x in packed]) for n, (i, j) in enumerate(zip([0, *edges], [*edges, len(mark)])) if i < j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, name = [], 0, None
@@ -268,32 +273,40 @@ def shard_repeats(regions: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return regions.select("hash", "part", "parts", "digest", "m", "n", "region").mapInArrow(run, "hash long, digest long, a long, b long, mark long, known boolean")
+    return regions.select("hash", "part", "parts", "digest", "m", "n", "region").mapInArrow(run, FOUND)
+
 
+def merged(blocks: DataFrame) -> DataFrame:
+    """hash, digest, a, b: windows that another shard has too, by binary search in the merged marks of each range.
 
-def merged(marks: DataFrame) -> DataFrame:
-    """hash, digest, a, b: marked windows that another shard has too, by binary search in the sorted marks."""
+    ``blocks``: range, block (packed arrays, sorted by mark); a shard has each class of equal windows once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, name = [], None
         for batch in batches:
-            held = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
-            mark = held.column("mark").to_numpy()
-            if not len(mark):
-                continue
-            stop = int(np.searchsorted(mark, mark[-1]))  # equal marks may go on in the next batch
-            yield found(held.slice(0, stop))
-            held = held.slice(stop)
-        if held is not None and held.num_rows:
+            for r, block in zip(*(batch.column(c).to_pylist() for c in ("range", "block")), strict=True):
+                if r != name and held:
+                    yield found(held)
+                    held = []
+                name = r
+                held.append(block)
+        if held:
             yield found(held)
 
-    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mark = batch.column("mark").to_numpy()
-        low, high = np.searchsorted(mark, mark, "left"), np.searchsorted(mark, mark, "right")
-        hit = (high - low > 1) & ~batch.column("known").to_numpy(zero_copy_only=False)
-        return batch.select(["hash", "digest", "a", "b"]).take(pa.array(np.flatnonzero(hit)))
+    def found(held: list) -> pa.RecordBatch:
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.int64)
+        blocks = [[np.frombuffer(x, kind) for x, kind in zip(block, kinds, strict=True)] for block in held]
+        every = np.sort(np.concatenate([b[0] for b in blocks]))
+        hits = []
+        for mark, hashes, digests, at, known in blocks:
+            more = np.searchsorted(every, mark, "right") - np.searchsorted(every, mark, "left") > 1
+            more &= known == 0  # the shard has marked the others
+            hits.append((hashes[more], digests[more], at[more]))
+        hashes, digests, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, digests, at, at)], ["hash", "digest", "a", "b"])
 
-    return marks.mapInArrow(run, "hash long, digest long, a long, b long")
+    return blocks.select("range", "block").mapInArrow(run, "hash long, digest long, a long, b long")
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -318,11 +331,11 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     regions = known.where("runs is not null").select("doc_id", "text", F.explode("runs").alias("r")).where(F.col("r.rep").isNotNull() & F.col("r.rep.doc_id").eqNullSafe(F.col("doc_id")))
     regions = regions.select("r.hash", F.pmod("r.digest", "r.parts").cast("int").alias("part"), "r.parts", "r.digest", "r.m", "r.n", F.substring("text", F.col("r.at").cast("int") + 1, (F.col("r.n") + length - 1).cast("int")).alias("region"))
     dealt = regions.repartition(parts_for(spark), "hash", "part").sortWithinPartitions("hash", "part")
-    found = written(shard_repeats(dealt, length), "sa-found")
-    marks = found.where("mark is not null").select("hash", "digest", "a", "b", "mark", "known")
-    marks = marks.repartition(parts_for(spark), "mark").sortWithinPartitions("mark")
-    spans = found.where("mark is null").select("hash", "digest", "a", "b").unionByName(merged(marks))
-    spans = spans.groupBy("hash", "digest").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+    ranges = parts_for(spark)
+    found = written(shard_repeats(dealt, length, ranges), "sa-found")
+    blocks = found.where("block is not null").select("range", "block").repartition(ranges, "range").sortWithinPartitions("range")
+    spans = found.where("block is null").select("hash", "digest", "a", "b").unionByName(merged(blocks))
+    spans = written(spans.groupBy("hash", "digest").agg(F.collect_set(F.struct("a", "b")).alias("s")), "sa-spans")
     # From regions to texts: windows [a, b] cover bytes a to b + length - 1.
     places = known.where("runs is not null").select("key", F.explode("runs").alias("r")).select("key", "r.hash", "r.digest", "r.at")
     cover = F.transform("s", lambda x: F.struct((F.col("at") + x["a"]).alias("start"), (F.col("at") + x["b"] + length).alias("stop")))
