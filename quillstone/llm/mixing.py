@@ -14,14 +14,16 @@ rounded target, and nothing depends on the order of rows or tasks.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, table, written
+from .common import numbered, parts_for, table, text_batches, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -210,12 +212,24 @@ class Mix:
         low, high = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         return out.select("rank", "block", "start", (low - F.col("block") * b).alias("at"), (low - F.col("start")).alias("skip"), (high - low).alias("n"))
 
+    def met(self) -> DataFrame:
+        """rank, start, skip, words, uses: how often the mix takes which words of the document at ``start``."""
+        uses = self.slots.groupBy("rank", "block", F.col("words").alias("cut")).agg(F.count("*").alias("uses"))
+        met = self.pieces().join(uses.hint("merge"), ["rank", "block"])  # a range's size says nothing of its slots
+        words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("cut")) - F.col("at"))
+        return met.select("rank", "start", "skip", words.cast("long").alias("words"), "uses").where("words > 0")
+
+    def layered(self) -> DataFrame:
+        """``met`` without overlaps: where a piece is taken to different lengths, the stretches taken equally often."""
+        met = self.met().groupBy("rank", "start", "skip", "words").agg(F.sum("uses").alias("uses"))
+        by = Window.partitionBy("rank", "start", "skip")
+        longer = F.sum("uses").over(by.orderBy(F.desc("words")).rowsBetween(Window.unboundedPreceding, 0))
+        shorter = F.coalesce(F.max("words").over(by.orderBy("words").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return met.select("rank", "start", (F.col("skip") + shorter).alias("skip"), (F.col("words") - shorter).alias("words"), longer.alias("uses"))
+
     def taken(self) -> DataFrame:
         """``docs`` with the words that the mix takes of each row."""
-        uses = self.slots.groupBy("rank", "block", "words").agg(F.count("*").alias("uses"))
-        met = self.pieces().join(uses.hint("merge"), ["rank", "block"])  # a range's size says nothing of its slots
-        words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at"))
-        sums = met.groupBy("rank", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
+        sums = self.met().groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
         some = self.docs.where("size > 0").join(sums, ["rank", "start"], "left")
         return some.unionByName(self.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
@@ -229,5 +243,52 @@ def mix(docs: DataFrame, **kind) -> DataFrame:
     return Mix(docs, **kind).taken().select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **kind) -> DataFrame:
+    """The mix as documents: a row for the words of a document that it takes once or more, one for those taken twice.
+
+    Words keep the characters between them; a row that takes all words keeps the whole text. n_chars is counted anew.
+    Documents of which no word is taken are left out, those without words stay.
+    """
+    rows = numbered(docs, "mix-rows")
+    mix = Mix(rows, keep=("__row",), **kind)
+    part = F.struct("skip", "words", "uses")
+    plan = mix.layered().groupBy("rank", "start").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    plan = mix.docs.where("size > 0").select("__row", "rank", "start", "size").join(plan, ["rank", "start"]).select("__row", "size", "parts")
+    held = rows.select("__row", "text", F.struct(*docs.columns).alias("__rest")).join(plan, "__row").select("text", "__rest", "size", "parts")
+    schema = held.select("__rest", "text").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            texts, of = [], []
+            for k, (text, size, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "size", "parts")), strict=True)):
+                for use in range(1, max(p["uses"] for p in parts) + 1):
+                    some = [(p["skip"], p["skip"] + p["words"]) for p in parts if p["uses"] >= use]
+                    some = sorted(some)
+                    whole = sum(b - a for a, b in some) == size
+                    texts.append(text if whole else cut_words(text, some))
+                    of.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("__rest").take(pa.array(of, pa.int64())), pa.array(texts, pa.string())], ["__rest", "text"])
+
+    taken = held.mapInArrow(run, schema)
+    of = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"__rest.{c}") for c in docs.columns]
+    empty = rows.join(mix.docs.where("size = 0").select("__row"), "__row", "left_semi").select(docs.columns)
+    return taken.select(*of).unionByName(empty)
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words from..to-1 of each span, with what stands between them; spans that do not touch are parted by a space."""
+    at = [m.span() for m in re.finditer(WORD, text)]
+    out, last = [], None
+    for a, b in spans:
+        if a >= b:
+            continue
+        if last == a:
+            out.append(text[at[a - 1][1] : at[b - 1][1]])
+        else:
+            out.append(" " * bool(out) + text[at[a][0] : at[b - 1][1]])
+        last = b
+    return "".join(out)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

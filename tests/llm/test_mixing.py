@@ -83,7 +83,35 @@ def test_against_brute_force(spark):
     assert again == sorted(map(repr, M.mix(docs, block=16, shard=50).collect()))
 
 
+def test_mixed_documents(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["a", "bc", "déf", "g\n", "h "])
+    rows = [(i, " ".join(word() + str(i) for _ in range(rng.choice([0, 1, 5, 40, 90]))), rng.choice("xxy"), 5) for i in range(80)]
+    rows += [(None, "z z", "x", 5), (3, "q q", "y", 5), (3, "q q", "y", 5), (70, None, "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = M.mixed(docs, block=16, shard=20)
+    assert out.columns == docs.columns
+    got, words = out.collect(), Counter()
+    for r in got:
+        if r.text:
+            assert r.n_chars == len(r.text)
+            words[r.doc_id] += len(r.text.split())
+    want = Counter()
+    for r in M.mix(docs, block=16, shard=20).collect():
+        want[r.doc_id] += r.taken
+    assert +words == +want
+    texts = {(i, " ".join((t or "").split())) for i, t, *_ in rows}
+    assert {r.doc_id for r in got} >= {i for i, t, *_ in rows if t and len(t) > 20 and want[i]}
+    assert sum((r.doc_id, " ".join((r.text or "").split())) in texts for r in got) > 20
+
+
+def test_cut_words():
+    assert M.cut_words("a  b\nc d", [(0, 1), (1, 3)]) == "a  b\nc"
+    assert M.cut_words("a  b\nc d", [(0, 1), (3, 4)]) == "a d"
+
+
 def test_empty(spark):
+    assert M.mixed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = M.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in got) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]

@@ -57,6 +57,24 @@ def test_production_length(spark):
     assert got == sorted((i, *w) for (i, _), w in zip(rows, brute([t.encode() for _, t in rows], 400), strict=True))
 
 
+def test_texts_without_repeats(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijé", k=6))
+    passage = " ".join(word() for _ in range(20))
+    rows = [(i, " ".join(word() for _ in range(30)) + (passage if i % 2 else ""), "k", 1) for i in range(20)] + [(None, None, "k", 1), (3, "x", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n_chars long")
+    out = D.without_repeats(docs, 64)
+    assert out.columns == docs.columns
+    want = {i: t for (i, t, *_), w in zip(rows, brute([(t or "").encode() for _, t, *_ in rows], 64), strict=True) if not w[1]}
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.text and len(r.text) > 1 and r.doc_id % 2:
+            assert passage[3:-3] not in r.text and len(r.text) == r.n_chars
+        elif r.text and len(r.text) > 1:
+            assert r.text == want[r.doc_id] and r.n_chars == 1
+
+
 def test_long_texts_are_cut_alike(monkeypatch):
     rng = random.Random(9)
     data = bytes(rng.choices(b"abc", k=3000))
