@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, media_avi, mixing, ppm, simhash, suffix_dedup, toxicity, url_graph
+from . import ann, bpe, license_scan, media_avi, mixing, ppm, simhash, suffix_dedup, toxicity, url_graph
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_media": media_avi.op2_media,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_simhash": simhash.op4_simhash,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_byte_bpe": bpe.op6_byte_bpe,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": license_scan.ORACLE_SQL}
