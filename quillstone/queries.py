@@ -6,6 +6,8 @@ Amounts are whole micro-units, so sums don't depend on their order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .operators import joins, ledger, ranks, rights, rollups
 from .operators.series import seeded, series
 from .plans.query import TableQuery
 from .sources import tables
+from .streaming import blocks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -589,3 +592,95 @@ def sink_verbose_json(spark, d):
 def packed_ids(spark, d):
     packed = F.shiftleft("event_id", 16).bitwiseOR((F.col("user_id") % 65536))
     return t(spark, d, "events").select("event_id", packed.alias("packed"), F.shiftright(packed, 16).alias("height"), packed.bitwiseAND(F.lit(65535)).alias("op_n"))
+
+
+# Streams and reorganisations
+
+
+def _chain(rows, branch):
+    name = F.concat_ws("", F.col("o_orderkey").cast("string"), branch)
+    return rows.select(F.lit("main").alias("chain"), F.col("o_orderkey").alias("height"), name.alias("hash"), (F.col("o_orderkey") - 1).cast("string").alias("parent"))
+
+
+@query("""
+select 'main' as chain, o_orderkey as height, o_orderkey::varchar || case when o_orderkey >= 500 and o_orderkey <= 700 then 'b' else 'a' end as hash, (o_orderkey - 1)::varchar as parent from orders where o_orderkey <= 700""")
+def reorg_replay(spark, d):
+    rows = t(spark, d, "orders")
+    branch = F.when(F.col("o_orderkey") >= 500, "b").otherwise("a")
+    return blocks.replayed(_chain(rows, F.lit("a")), _chain(rows.where("o_orderkey <= 700"), branch))
+
+
+@query()
+def stream_delay(spark, d):
+    """The orders as a stream of blocks, all but the last five final."""
+    rows = spark.readStream.schema(t(spark, d, "orders").schema).parquet(f"{d}/order[s].parquet")  # a pattern: the source takes no single file
+    name = f"final_{uuid.uuid4().hex}"
+    run = blocks.delayed(_chain(rows, F.lit("")), 5).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("""
+with g as (select event_id, user_id, ts, case when date_diff('second', lag(ts) over w, ts) is null or epoch_us(ts) - epoch_us(lag(ts) over w) > 86400000000 then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id))
+select user_id, n as spell, count(*) as events, min(ts) as since from (select *, sum(fresh) over (partition by user_id order by ts, event_id)::bigint as n from g) group by 1, 2""")
+def activity_spells(spark, d):
+    """Runs of an account's events without a day's pause: grace periods after which it counts as idle."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pause = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by).cast("timestamp"))
+    rows = t(spark, d, "events").withColumn("fresh", F.when(pause.isNull() | (pause > 86_400_000_000), 1).otherwise(0))
+    return rows.withColumn("spell", F.sum("fresh").over(by)).groupBy("user_id", "spell").agg(F.count("*").alias("events"), F.min("ts").alias("since"))
+
+
+@query("""
+with o as (select l_orderkey, l_suppkey, sum(cast(round(l_quantity) as bigint))::bigint as d from lineitem group by 1, 2)
+select l_suppkey as owner, sum(d)::bigint as volume, max(d) as most, count(*) as n_transfers, min(l_orderkey) as first_height, max(l_orderkey) as last_height from o group by 1""")
+def owner_stats(spark, d):
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum(F.round("l_quantity").cast("bigint")).alias("d"))
+    return rows.groupBy(F.col("l_suppkey").alias("owner")).agg(F.sum("d").alias("volume"), F.max("d").alias("most"), F.count("*").alias("n_transfers"), F.min("l_orderkey").alias("first_height"), F.max("l_orderkey").alias("last_height"))
+
+
+@query("""
+with s as (select o_orderkey // 4096 as cycle, o_custkey as account, sum(cast(round(o_totalprice) as bigint))::bigint as stake from orders group by 1, 2)
+select a.cycle, a.account, a.stake, b.stake as stake_before, c.stake as stake_after from s a left join s b on b.account = a.account and b.cycle = a.cycle - 1 left join s c on c.account = a.account and c.cycle = a.cycle + 1""")
+def cycle_neighbours(spark, d):
+    rows = t(spark, d, "orders").groupBy(F.expr("o_orderkey div 4096").alias("cycle"), F.col("o_custkey").alias("account")).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("stake"))
+    near = lambda step, name: rows.select((F.col("cycle") + step).alias("cycle"), "account", F.col("stake").alias(name))
+    return rows.join(near(1, "stake_before"), ["cycle", "account"], "left").join(near(-1, "stake_after"), ["cycle", "account"], "left")
+
+
+@query("""
+select c.c_custkey as voter, coalesce(count(distinct o_orderpriority), 0) as n_proposals, coalesce(sum(cast(round(o_totalprice) as bigint)), 0)::bigint as stake, count(o_orderkey) > 0 as has_voted from customer c left join orders on o_custkey = c.c_custkey group by 1""")
+def voter_list(spark, d):
+    cast = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderpriority").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("s"))
+    zero = F.lit(0).cast("bigint")
+    return t(spark, d, "customer").join(cast, "c_custkey", "left").select(F.col("c_custkey").alias("voter"), F.coalesce("n", zero).alias("n_proposals"), F.coalesce("s", zero).alias("stake"), F.col("n").isNotNull().alias("has_voted"))
+
+
+@query("""
+select s_nationkey as region_id, string_agg(s_suppkey::varchar, ',' order by s_acctbal desc, s_suppkey) as by_balance, count(*) filter (s_acctbal > 0) as n_funded from supplier group by 1""")
+def snapshot_members(spark, d):
+    rows = t(spark, d, "supplier")
+    each = F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("b"), F.col("s_suppkey").alias("i"))))
+    return rows.groupBy(F.col("s_nationkey").alias("region_id")).agg(F.concat_ws(",", F.transform(each, lambda x: x["i"].cast("string"))).alias("by_balance"), F.count_if(F.col("s_acctbal") > 0).alias("n_funded"))
+
+
+@query("select min(o_orderkey) as height, min(o_orderdate) as time from orders where o_orderdate >= timestamp '1998-03-15'")
+def first_at_or_after(spark, d):
+    rows = t(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("1998-03-15").cast("timestamp_ntz"))
+    return rows.agg(F.min("o_orderkey").alias("height"), F.min("o_orderdate").alias("time"))
+
+
+@query("""
+select sum(cast(round(l_extendedprice * 1000000) as bigint)) filter (l_orderkey // 4096 between 1 and 2 and l_returnflag = 'A')::bigint as unfrozen, sum(cast(round(l_extendedprice * 1000000) as bigint)) filter (l_orderkey // 4096 > 2)::bigint as frozen from lineitem""")
+def conditional_sum(spark, d):
+    cycle, v = F.expr("l_orderkey div 4096"), micro("l_extendedprice")
+    return t(spark, d, "lineitem").agg(F.sum(F.when(cycle.between(1, 2) & (F.col("l_returnflag") == "A"), v)).alias("unfrozen"), F.sum(F.when(cycle > 2, v)).alias("frozen"))
+
+
+@query("""
+with m as (select max(o_orderkey) as h from orders where o_orderkey <= 1000 and o_orderstatus = 'F')
+select o_orderkey // 100 as batch, count(*) as n, sum(cast(round(o_totalprice) as bigint))::bigint as stake from orders, m where o_orderkey // 100 = m.h // 100 group by 1""")
+def latest_group_sum(spark, d):
+    rows = t(spark, d, "orders").withColumn("batch", F.expr("o_orderkey div 100"))
+    last = rows.where("o_orderkey <= 1000 and o_orderstatus = 'F'").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), "batch").groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("stake"))  # one row
