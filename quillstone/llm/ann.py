@@ -4,8 +4,9 @@ Rows with one vector are a class and stand in the graph once. The graph starts f
 random hyperplanes cut (several cuts, no block over ``LEAF`` vectors), then each round joins neighbours of neighbours: a
 vector's list of its neighbours and of those it is a neighbour of (``FRESH`` newly found and ``OLD`` others at most) is
 compared pair by pair, and what beats the farthest neighbour of either goes into that one's ``K``. A query starts at
-its own place in the graph; each step opens the nearest ``OPEN`` places of its ``BEAM`` that are still closed. Scores are
-cosines in double precision of the original vectors; the graph itself works on single-precision unit vectors.
+its own place in the graph; each step opens the nearest ``OPEN`` places of its ``BEAM`` that are still closed. Graph and search
+work on unit vectors in single precision; the scores of what stands in the beam at the end are cosines in double precision
+of the original vectors.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, table, written
 
-K = 20
-LEAF, TREES = 512, 4
-ROUNDS, FRESH, OLD = 4, 16, 8
-STEPS, BEAM, OPEN = 5, 32, 8
+K = 48
+LEAF, TREES = 1024, 6
+ROUNDS, FRESH, OLD = 4, 32, 24
+STEPS, BEAM, OPEN = 3, 48, 12
 TOP = 5
 EVERY = 50
 SEED = 64
@@ -63,14 +64,26 @@ def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tuple]:
 
 
 def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    """Unit vectors, kept as single-precision bytes."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """id, vec: unit vectors as single-precision bytes. ``nodes``: id, embedding, norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1) / batch.column("norm").to_numpy()[:, None] if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], ["id", "vec"])
+
+    return nodes.select("id", "embedding", "norm").mapInArrow(run, "id long, vec binary")
 
 
 def first_graph(nodes: DataFrame, n: int) -> DataFrame:
-    """id, nbr, sim: the nearest within blocks. ``nodes``: id, vec (unit, array<float>)."""
-    bits = max(0, math.ceil(math.log2(max(1, n) / LEAF)) + 1) if n > LEAF else 0
+    """id, nbr, sim: the nearest within blocks. ``nodes``: id, vec."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / LEAF))) if n > LEAF else 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +108,7 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
                 best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], k)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(sim, best, 1).ravel(), pa.float32())], ["id", "nbr", "sim"])
 
-    cuts = written(nodes.mapInArrow(cut, "tree int, code long, id long, vec array<float>"), "ann-cuts")
+    cuts = written(nodes.mapInArrow(cut, "tree int, code long, id long, vec binary"), "ann-cuts")
     sizes = cuts.groupBy("tree", "code").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")
     dealt = cuts.join(sizes, ["tree", "code"]).select("tree", "code", part.alias("part"), "id", "vec")
@@ -105,6 +118,7 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
 
 def best_of(edges: DataFrame) -> DataFrame:
     """The ``K`` nearest distinct neighbours of each id."""
+    edges = edges.repartition(parts_for(edges.sparkSession), "id")  # serves both the distinct pairs and the ranks
     edges = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
     return written(edges.withColumn("rank", rank).where(F.col("rank") <= K).drop("rank"), "ann-graph")
@@ -157,30 +171,32 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def searched(asks: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, id, score: the classes that the greedy search from each ``asks`` (q) has met.
-
-    ``nodes``: id, embedding (array<double>), norm.
-    """
+    """q, id, sim: what is in the beam of the greedy search from each ``asks`` (q). ``nodes``: id, vec."""
     back = graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= K).drop("rank")
     ways = written(graph.select("id", "nbr").unionByName(back.select("id", "nbr")).distinct(), "ann-ways")
-    own = written(asks.join(nodes, asks.q == nodes.id).select("q", F.col("embedding").alias("ask"), F.col("norm").alias("ask_norm")), "ann-asks")
-    dot = F.aggregate(F.zip_with("ask", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    own = written(asks.join(nodes, asks.q == nodes.id).select("q", F.col("vec").alias("ask")), "ann-asks")
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sim = np.einsum("ij,ij->i", _matrix(batch.column("ask")), _matrix(batch.column("vec")))
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), pa.array(sim, pa.float32())], ["q", "id", "sim"])
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(nodes, "id").join(own, "q").select("q", "id", (dot / (F.col("ask_norm") * F.col("norm"))).alias("score"))
+        return pairs.join(nodes, "id").join(own, "q").select("q", "id", "ask", "vec").mapInArrow(dots, "q long, id long, sim float")
 
     met = written(scored(asks.select("q", F.col("q").alias("id"))).withColumn("opened", F.lit(False)), "ann-met")
+    by = Window.partitionBy("q")
     for _ in range(STEPS):
-        by = Window.partitionBy("q")
-        near = met.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= BEAM).where("not opened")
+        near = met.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= BEAM).where("not opened")
         opened = near.withColumn("turn", F.row_number().over(by.orderBy("rank"))).where(F.col("turn") <= OPEN).select("q", "id")
         opened = written(opened, "ann-opened")
         found = opened.join(ways, "id").select("q", F.col("nbr").alias("id")).distinct().join(met.select("q", "id"), ["q", "id"], "left_anti")
-        marked = met.join(opened.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        marked = met.join(opened.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
         met = written(marked.unionByName(scored(found).withColumn("opened", F.lit(False))), "ann-met")
-    return met.select("q", "id", "score")
+    return met.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= BEAM).select("q", "id")
 
 
 def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
@@ -191,11 +207,14 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """
     rows = written(usable(rows), "ann-rows")
     nodes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.first("norm").alias("norm")), "ann-nodes")
-    unit = nodes.select("id", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("vec"))
+    unit = written(packed(nodes), "ann-unit")
     members = written(rows.join(nodes.select("id", "embedding"), "embedding").select("vec_id", "id"), "ann-members")
-    graph = neighbour_graph(written(unit, "ann-unit"))
+    graph = neighbour_graph(unit)
     queries = members.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
-    met = searched(queries.select("q").distinct(), graph, nodes)
+    met = searched(queries.select("q").distinct(), graph, unit)
+    asks = nodes.select(F.col("id").alias("q"), F.col("embedding").alias("ask"), F.col("norm").alias("ask_norm"))
+    dot = F.aggregate(F.zip_with("ask", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    met = met.join(nodes, "id").join(asks, "q").select("q", "id", (dot / (F.col("ask_norm") * F.col("norm"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     met = met.withColumn("rank", rank).where(F.col("rank") <= top + 1).drop("rank")
     some = members.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("rank") <= top + 1).drop("rank")
