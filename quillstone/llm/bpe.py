@@ -28,7 +28,7 @@ LONG = 512
 #: Cells of one padded matrix.
 CELLS = 1 << 20
 #: Distinct pieces that a worker keeps between batches; beyond it starts afresh.
-KEPT = 400_000
+KEPT = 150_000
 #: Slots of the pair table for each pair, and the multiplier of its hash.
 SPARE, MIX = 4, np.uint64(0x9E3779B97F4A7C15)
 

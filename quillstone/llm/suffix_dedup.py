@@ -309,11 +309,11 @@ def merged(blocks: DataFrame) -> DataFrame:
     return blocks.select("range", "block").mapInArrow(run, "hash long, digest long, a long, b long")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = ()) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with ``spans``, the sorted byte spans that repeated windows cover.
 
     Texts are told apart by their bytes, so repeated ids do no harm; a null text is empty. Returns doc_id, the columns
-    ``keep``, key, n_bytes, sha256, text (bytes; null where no span can be), spans (null where there are none).
+    ``keep``, key, n_bytes, sha256, text (bytes; null where no span can be, unless ``whole``), spans (null where there are none).
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -326,7 +326,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = ()) -> DataFram
     # Each text's runs that may repeat; ``rep`` where this text gives the region.
     lists = all_runs.join(asked, ["hash", "digest"]).groupBy("key").agg(F.collect_set(F.struct("hash", "digest", "at", "n", "m", "parts", F.when((F.col("rep.key") == F.col("key")) & (F.col("rep.at") == F.col("at")), F.struct(F.col("rep.doc_id").alias("doc_id"))).alias("rep"))).alias("runs"))
     known = docs.join(lists, "key", "left")
-    known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
+    known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), (F.lit(None).cast("string") if whole else F.sha2("text", 256)).alias("sha256"), (F.col("text") if whole else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs")
     known = written(known, "sa-known")
     regions = known.where("runs is not null").select("doc_id", "text", F.explode("runs").alias("r")).where(F.col("r.rep").isNotNull() & F.col("r.rep.doc_id").eqNullSafe(F.col("doc_id")))
     regions = regions.select("r.hash", F.pmod("r.digest", "r.parts").cast("int").alias("part"), "r.parts", "r.digest", "r.m", "r.n", F.substring("text", F.col("r.at").cast("int") + 1, (F.col("r.n") + length - 1).cast("int")).alias("region"))
@@ -383,20 +383,24 @@ def without_repeats(docs: DataFrame, length: int) -> DataFrame:
 
     A character that a cut leaves incomplete goes too; texts that lose nothing are unchanged.
     """
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    held = docs.select("doc_id", "text", F.struct(*rest).alias("__rest"))
-    found = removed(held, length, ("__rest",))
-    schema = found.select("doc_id", "__rest").schema
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("__null")).alias("__rest"))
+    found = removed(held, length, ("__rest",), whole=True)
+    schema = found.select("doc_id", "__rest").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             kept = [cut(t, s)[0].decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__rest"), pa.array(kept, pa.string())], ["doc_id", "__rest", "text"])
 
-    hit = found.where("spans is not null").select("doc_id", "__rest", "text", "spans").mapInArrow(run, schema.add("text", "string"))
-    of = lambda text: [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("doc_id" if c == "doc_id" else f"__rest.{c}") for c in docs.columns]
-    same = found.where("spans is null").select("doc_id", *(F.col(f"__rest.{c}") for c in rest)).select(docs.columns)
-    return hit.select(*of(F.col("text"))).unionByName(same)
+    def columns(new: dict) -> list:
+        return [(new[c] if c in new else F.col("doc_id") if c == "doc_id" else F.col(f"__rest.{c}")).alias(c) for c in docs.columns]
+
+    hit = found.where("spans is not null").select("doc_id", "__rest", "text", "spans").mapInArrow(run, schema)
+    hit = hit.select(*columns({"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}))
+    text = F.when(~F.col("__rest.__null"), F.col("text").cast("string"))
+    same = found.where("spans is null").select(*columns({"text": text}))
+    return hit.unionByName(same)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
