@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, parts_for, table, text_batches, written
+from .common import drop, numbered, parts_for, table, text_batches, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -201,6 +201,7 @@ class Mix:
         self.sources = spark.createDataFrame(names, "source string, rank int, source_size long, target double")
         ranked = self.sized.join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
         self.docs = written(laid_out(ranked, self.sized.count()), "laid-out")
+        drop(self.sized)
         self.slots = slots(spark, plans, block, shard, seed)
 
     def pieces(self) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table, text_batches, text_bytes, written
+from .common import drop, parts_for, table, text_batches, text_bytes, written
 
 LENGTH = 400
 GRAM = 32
@@ -328,6 +328,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool
     known = docs.join(lists, "key", "left")
     known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), (F.lit(None).cast("string") if whole else F.sha2("text", 256)).alias("sha256"), (F.col("text") if whole else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs")
     known = written(known, "sa-known")
+    drop(all_runs, distinct, asked)
     regions = known.where("runs is not null").select("doc_id", "text", F.explode("runs").alias("r")).where(F.col("r.rep").isNotNull() & F.col("r.rep.doc_id").eqNullSafe(F.col("doc_id")))
     regions = regions.select("r.hash", F.pmod("r.digest", "r.parts").cast("int").alias("part"), "r.parts", "r.digest", "r.m", "r.n", F.substring("text", F.col("r.at").cast("int") + 1, (F.col("r.n") + length - 1).cast("int")).alias("region"))
     dealt = regions.repartition(parts_for(spark), "hash", "part").sortWithinPartitions("hash", "part")
@@ -336,6 +337,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool
     blocks = found.where("block is not null").select("range", "block").repartition(ranges, "range").sortWithinPartitions("range")
     spans = found.where("block is null").select("hash", "digest", "a", "b").unionByName(merged(blocks))
     spans = written(spans.groupBy("hash", "digest").agg(F.collect_set(F.struct("a", "b")).alias("s")), "sa-spans")
+    drop(found)
     # From regions to texts: windows [a, b] cover bytes a to b + length - 1.
     places = known.where("runs is not null").select("key", F.explode("runs").alias("r")).select("key", "r.hash", "r.digest", "r.at")
     cover = F.transform("s", lambda x: F.struct((F.col("at") + x["a"]).alias("start"), (F.col("at") + x["b"] + length).alias("stop")))
