@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, mixing, simhash, suffix_dedup, toxicity
-from quillstone.llm.common import table, written
+from quillstone.llm.common import drop, table, written
 
 #: Bytes of a passage that the suffix-array stage removes wherever it occurs twice: some 45 words.
 PASSAGE = 240
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*before)  # each stage's rows are written, so what it read can go
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
