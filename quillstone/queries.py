@@ -684,3 +684,128 @@ def latest_group_sum(spark, d):
     rows = t(spark, d, "orders").withColumn("batch", F.expr("o_orderkey div 100"))
     last = rows.where("o_orderkey <= 1000 and o_orderstatus = 'F'").agg(F.max("batch").alias("batch"))
     return rows.join(F.broadcast(last), "batch").groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("stake"))  # one row
+
+
+# More lists and derived figures
+
+
+@query(f"""
+with m as (select max(ts) as b from events)
+select count(*) filter (event_type = 'signup') as n_signups, count(*) filter (event_type = 'error') as n_errors, coalesce(sum({E_MICRO}) filter (event_type = 'purchase'), 0)::bigint as volume
+from events, m where ts >= b - interval 7 day""")
+def interval_sum(spark, d):
+    """Growth over the last week of the table."""
+    rows = events(spark, d)
+    last = F.broadcast(rows.agg((F.max("ts") - F.expr("interval 7 days")).alias("since")))  # one row
+    volume = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("micro"))), F.lit(0).cast("bigint"))
+    counts = [F.count_if(F.col("event_type") == kind).alias(name) for name, kind in (("n_signups", "signup"), ("n_errors", "error"))]
+    return rows.join(last, F.col("ts") >= F.col("since")).agg(*counts, volume.alias("volume"))
+
+
+@query("""
+with g as (select *, case when lag(event_type) over (partition by user_id order by ts, event_id) is distinct from event_type then 1 else 0 end as fresh from events),
+h as (select *, sum(fresh) over (partition by user_id order by ts, event_id)::bigint as part from g)
+select user_id, part, min(event_type) as event_type, count(*) as n_ops, min(ts) as since from h group by user_id, part""")
+def collapsed_groups(spark, d):
+    """Consecutive operations of one kind by one account as one row."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    fresh = (~F.lag("event_type").over(by).eqNullSafe(F.col("event_type"))).cast("bigint")
+    rows = t(spark, d, "events").withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(by))
+    return rows.groupBy("user_id", "part").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n_ops"), F.min("ts").alias("since"))
+
+
+@query(LI + "l_returnflag in ('A', 'R') and l_linestatus in ('F', 'O') and l_linenumber = 2")
+def filter_composite_key(spark, d):
+    """All combinations of two short lists as keys of a semi-join."""
+    keys = spark.createDataFrame([(a, b) for a in "AR" for b in "FO"], "l_returnflag string, l_linestatus string")
+    rows = t(spark, d, "lineitem").where("l_linenumber = 2").join(F.broadcast(keys), ["l_returnflag", "l_linestatus"], "left_semi")  # four rows
+    return rows.select(F.col("l_orderkey").alias("height"), F.col("l_linenumber").alias("op_n"), F.col("l_quantity").alias("quantity"))
+
+
+@query("select event_id from events where cast(round(value * 10000) as bigint) between 55000 and 120000")
+def filter_percent(spark, d):
+    rows = t(spark, d, "events").withColumn("rate", F.round(F.col("value") * 10_000).cast("bigint"))
+    return TableQuery(("event_id",), (("rate.rg", "550,1200"),), scales={"rate": 100}).run(rows)
+
+
+@query("""
+with m as (select min(o_orderkey) as lo, max(o_orderkey) as hi from orders where o_orderdate between timestamp '1996-01-01' and timestamp '1996-03-31')
+select o_orderkey from orders, m where o_orderkey between lo and hi""")
+def filter_time_range_as_heights(spark, d):
+    rows = t(spark, d, "orders")
+    within = F.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-03-31").cast("timestamp_ntz"))
+    ends = F.broadcast(rows.where(within).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")))  # one row
+    return rows.join(ends, F.col("o_orderkey").between(F.col("lo"), F.col("hi"))).select("o_orderkey")
+
+
+@query("select l_suppkey from lineitem where l_returnflag = 'R' and l_quantity > 48 intersect select l_suppkey from lineitem where l_linestatus = 'O' and l_quantity < 3")
+def rights_intersect(spark, d):
+    rows = t(spark, d, "lineitem")
+    return rows.where("l_returnflag = 'R' and l_quantity > 48").select("l_suppkey").intersect(rows.where("l_linestatus = 'O' and l_quantity < 3").select("l_suppkey"))
+
+
+@query("""
+with p as (select c_custkey as id, row_number() over (order by c_acctbal desc, c_custkey) as rank from customer order by c_acctbal desc, c_custkey limit 100),
+l as (select l_orderkey, l_linenumber, 'sender' as side, l_partkey as id from lineitem union all select l_orderkey, l_linenumber, 'receiver', l_suppkey from lineitem)
+select l_orderkey, l_linenumber, side, id, rank from l join p using (id)""")
+def rank_enrichment(spark, d):
+    """Operations with a party among the hundred richest, and that party's rank."""
+    rich = ranks.top(t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), [F.desc("c_acctbal"), F.col("id")], 100)
+    rich = rich.select("id", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "id")).cast("bigint").alias("rank"))  # 100 rows
+    rows = t(spark, d, "lineitem")
+    legs = [rows.select("l_orderkey", "l_linenumber", F.lit(side).alias("side"), F.col(c).alias("id")) for side, c in (("sender", "l_partkey"), ("receiver", "l_suppkey"))]
+    return legs[0].unionByName(legs[1]).join(F.broadcast(rich), "id")
+
+
+@query("""
+with s as (select c_custkey, true as sponsored from customer where c_acctbal > 8000 order by md5(c_custkey::varchar) limit 10),
+n as (select c_custkey, false as sponsored from customer where c_acctbal <= 8000 order by md5(c_custkey::varchar) limit 20)
+select c_custkey, sponsored from (select *, row_number() over (order by sponsored desc, md5(c_custkey::varchar)) as r from (select * from s union all select * from n)) where r <= 20""")
+def suggestion_sample(spark, d):
+    """A repeatable random choice of twenty, half of them sponsored at most."""
+    rows = t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 8000).alias("sponsored"), F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("by"))
+    some = ranks.top(rows.where("sponsored"), [F.col("by")], 10).unionByName(ranks.top(rows.where("not sponsored"), [F.col("by")], 20))
+    return ranks.top(some, [F.desc("sponsored"), F.col("by")], 20).select("c_custkey", "sponsored")
+
+
+@query("""
+with a as (select l_orderkey, count(*) as n_lines from lineitem group by 1),
+r as (select l_orderkey, string_agg(l_linenumber::varchar, ',' order by l_linenumber) as returns from lineitem where l_returnflag = 'R' group by 1),
+e as (select user_id, count(*) as n_events from events group by 1)
+select o_orderkey, coalesce(n_lines, 0) as n_lines, coalesce(returns, '') as returns, coalesce(n_events, 0) as n_events from orders
+left join a on a.l_orderkey = o_orderkey left join r on r.l_orderkey = o_orderkey left join e on e.user_id = o_custkey""")
+def join_several_children(spark, d):
+    """Each kind of child is aggregated to one row a parent before it is joined."""
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))).alias("back"))
+    users = t(spark, d, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.count("*").alias("n_events"))
+    zero = F.lit(0).cast("bigint")
+    returns = F.coalesce(F.concat_ws(",", F.transform("back", lambda x: x.cast("string"))), F.lit(""))
+    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left").join(users, "o_custkey", "left")
+    return rows.select("o_orderkey", F.coalesce("n_lines", zero).alias("n_lines"), returns.alias("returns"), F.coalesce("n_events", zero).alias("n_events"))
+
+
+@query("""
+with f as (select user_id, min(date_trunc('day', ts))::timestamp as first_day from events group by 1), d as (select distinct date_trunc('day', ts)::timestamp as day, user_id from events)
+select day, count(*) as n_accounts, count(*) filter (first_day = day) as n_new, (count(*) - count(*) filter (first_day = day)) * 10000 // count(*) as reuse from d join f using (user_id) group by 1""")
+def account_reuse(spark, d):
+    """The share of a day's accounts that were seen before, in hundredths of a percent."""
+    days = t(spark, d, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "user_id").distinct()
+    known = days.withColumn("fresh", F.col("day") == F.min("day").over(Window.partitionBy("user_id")))
+    sums = known.groupBy("day").agg(F.count("*").alias("n_accounts"), F.count_if("fresh").alias("n_new"))
+    return sums.withColumn("reuse", F.expr("(n_accounts - n_new) * 10000 div n_accounts"))
+
+
+@query(f"""
+select date_trunc('day', ts)::timestamp as bucket, coalesce(sum({E_MICRO}) filter (event_type in ('signup', 'purchase')), 0)::bigint as amount_in, coalesce(sum({E_MICRO}) filter (event_type = 'error'), 0)::bigint as amount_out, count(*) as n
+from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-02-01' group by 1""")
+def series_flow(spark, d):
+    rows = events(spark, d).withColumn("come", F.when(F.col("event_type").isin("signup", "purchase"), F.col("micro")).otherwise(0)).withColumn("gone", F.when(F.col("event_type") == "error", F.col("micro")).otherwise(0))
+    return series(rows, "ts", {"amount_in": F.sum("come"), "amount_out": F.sum("gone"), "n": F.count("*")}, "d", *JAN, fill="none")
+
+
+@query("""
+with c as (select o_orderkey // 4096 as cycle, count(*) as n, count(*) filter (o_orderstatus = 'F') as n_final, count(distinct o_custkey) as n_creators from orders group by 1)
+select cycle, n * 10000 // 4096 as filled, n_final * 10000 // n as final_rate, n_creators * 10000 // n as spread from c""")
+def cycle_rates(spark, d):
+    sums = t(spark, d, "orders").groupBy(F.expr("o_orderkey div 4096").alias("cycle")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.count_distinct("o_custkey").alias("n_creators"))
+    return sums.selectExpr("cycle", "n * 10000 div 4096 as filled", "n_final * 10000 div n as final_rate", "n_creators * 10000 div n as spread")
