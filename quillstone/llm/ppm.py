@@ -1,12 +1,12 @@
 """Language-model scores: prediction by partial matching over bytes, beside smoothed word counts.
 
 The corpus's counts of byte strings of ``ORDER`` + 1 symbols are gathered by Spark from all training rows; shorter contexts
-are their marginals. The trie keeps the ``STATES`` contexts seen most (ties to shorter, then smaller ones), which
-bounds the model whatever the corpus. A symbol is coded in the longest context kept: seen n times there, it gets n / (T + D) with T
+are their marginals. A symbol is coded in the longest context that was counted: seen n times there, it gets n / (T + D) with T
 symbols and D distinct ones in that context; else the code escapes with D / (T + D) to the next shorter context, where
 the symbols of the longer one are excluded; below order 0 the symbols never seen share evenly. As all of a
-context's symbols are also its suffix's, this is a fixed function of state and symbol: workers expand it once into a
-table, follow the trie as an automaton, and run many stretches of text side by side in numpy. A text's code ends
+context's symbols are also its suffix's, this is a fixed function of the ``ORDER`` bytes before a symbol and of the symbol.
+So every context counts, however rare: Spark works out the logarithm of each distinct byte string of the corpus by joins order by
+order, the ``GRAMS`` most frequent are looked up in the workers, the rest are joined to the texts that have them. A text's code ends
 with an end symbol, so that scores are log10 probabilities of whole texts.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_batches, text_bytes, written
+from .common import drop, remainder, table, text_batches, text_bytes, written
 
 ORDER = 5
+#: Contexts of a ``Model`` held in memory; the queries' scores have no such bound.
 STATES = 65536
+#: The byte strings, at most, that are looked up in the workers; the rest are joined.
+GRAMS = 1 << 20
 #: The words that are looked up in the workers; the rest are joined.
 HEAD = 196608
 END, PAD = 0xFE, 0xFF  # bytes that UTF-8 never has
@@ -171,7 +175,7 @@ class Model:
 
 
 def trained(grams: DataFrame, states: int = STATES) -> Model:
-    """The model of aggregated counts (gram, n); the driver gets the kept contexts' counts only, which ``states`` bounds."""
+    """A small model in memory of aggregated counts (gram, n): the driver gets the kept contexts' counts only, which ``states`` bounds."""
     k = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
     mask = F.expr("shiftleft(1L, 8 * k) - 1")
     each = grams.select("gram", "n", k).select("k", F.shiftright("gram", 8).bitwiseAND(mask).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"), "n")
@@ -182,30 +186,128 @@ def trained(grams: DataFrame, states: int = STATES) -> Model:
     return Model(kept.toPandas(), entries.toPandas())
 
 
+def _shorter(k: int, ctx: str = "ctx"):
+    """The last k bytes of a context."""
+    return F.col(ctx).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx")
+
+
+def _marginals(grams: DataFrame, states: int | None) -> list[DataFrame]:
+    """ctx, sym, n of each order from 0; with ``states`` only of so many contexts, those seen most (ties to shorter, then smaller ones)."""
+    counts = [grams.where("n > 0").select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"), "n")]
+    for k in range(ORDER - 1, -1, -1):
+        counts.insert(0, written(counts[0].groupBy(_shorter(k), "sym").agg(F.sum("n").alias("n")), f"ppm-counts-{k}"))
+    if states is None:
+        return counts
+    every = reduce(DataFrame.unionByName, (c.select(F.lit(k).alias("k"), "ctx", "n") for k, c in enumerate(counts)))
+    kept = every.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(states)
+    kept = written(kept.select("k", "ctx"), "ppm-contexts")
+    return [written(c.join(kept.where(F.col("k") == k), "ctx", "left_semi"), f"ppm-kept-{k}") for k, c in enumerate(counts)]
+
+
+def logs(grams: DataFrame, states: int | None = None) -> DataFrame:
+    """gram, log: log10 probability of the last byte of each of ``grams`` (gram, n times in training, distinct) after the others.
+
+    Strings counted in training need their context's totals only. The others go down order by order to the context that has
+    their symbol, distinct ones only, and the escapes are added up on the way back. A context has at most 255 rows, so no key is hot.
+    """
+    counts = _marginals(grams, states)
+    whole = grams.select("gram", F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"))
+    asked = {ORDER: written(whole.join(counts[ORDER], ["ctx", "sym"], "left_anti").select("ctx", "sym", F.lit(None).cast("long").alias("n")), "ppm-asked")}
+    for k in range(ORDER - 1, -1, -1):
+        lower = asked[k + 1].where("n is null").select(_shorter(k), "sym").distinct()
+        asked[k] = written(lower.join(counts[k], ["ctx", "sym"], "left"), "ppm-asked")
+    log = F.log10
+    for k in range(ORDER + 1):
+        mine = counts[k].join(asked[k].select("ctx").distinct(), "ctx", "left_semi")
+        if k:  # what the context's symbols have in its suffix
+            below = counts[k - 1].select(F.col("ctx").alias("suffix"), "sym", F.col("n").alias("has"))
+            mine = mine.withColumn("suffix", _shorter(k - 1)).join(below, ["suffix", "sym"])
+        else:
+            mine = mine.withColumn("has", F.lit(0).cast("long"))
+        mine = mine.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("has").alias("excluded"))
+        now = asked[k].join(mine, "ctx", "left")
+        if k:
+            # ``after``: the cost once the code has escaped from this context; ``cost``: that of coding from it
+            below = found.select(F.col("ctx").alias("suffix"), "sym", *(F.col(c).alias(f"b_{c}") for c in ("n", "total", "kinds", "after", "cost")))
+            t, d = F.col("b_total") - F.col("excluded"), F.col("b_kinds") - F.col("kinds")
+            after = F.when(F.col("b_n").isNotNull(), log("b_n") - log(t + d)).when(d > 0, log(d) - log(t + d) + F.col("b_after")).otherwise(F.col("b_after"))
+            now = now.withColumn("suffix", _shorter(k - 1)).join(below, ["suffix", "sym"], "left").withColumn("after", after).withColumn("lower", F.col("b_cost"))
+        else:
+            now = now.withColumn("after", -log(F.greatest(F.lit(SYMBOLS) - F.col("kinds"), F.lit(1)))).withColumn("lower", -log(F.lit(float(SYMBOLS))))
+        size = log(F.col("total") + F.col("kinds"))
+        cost = F.when(F.col("n").isNotNull(), log("n") - size).when(F.col("total").isNull(), F.col("lower")).otherwise(log("kinds") - size + F.col("after"))
+        found = written(now.select("ctx", "sym", "n", "total", "kinds", "after", cost.alias("cost")), "ppm-costs")
+    top = counts[ORDER]
+    size = top.groupBy("ctx").agg(log(F.sum("n") + F.count("*")).alias("size"))
+    direct = top.join(size, "ctx").select("ctx", "sym", (log("n") - F.col("size")).alias("log"))
+    both = direct.unionByName(found.select("ctx", "sym", F.col("cost").alias("log")))
+    return both.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("gram"), "log")
+
+
+def frequent(grams: DataFrame, most: int):
+    """A condition on ``times`` that at most ``most`` of ``grams`` fulfil, the most frequent ones: by steps of the logarithm, so counted in a few rows."""
+    step = F.floor(F.log2("times") * 16).cast("long")
+    least, sum_ = None, 0
+    for r in grams.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        sum_ += r["count"]
+        if sum_ > most:
+            break
+        least = r.step
+    return F.lit(False) if least is None else step >= least
+
+
+def looked_up(texts: list[bytes], codes: np.ndarray, values: np.ndarray):
+    """Of each text the sum of its byte strings' values, and offsets, codes and times of those that are not in ``codes``."""
+    buffer, _ = laid_out(texts)
+    sizes = np.array([len(t) + 1 for t in texts])
+    own, inverse = np.unique(grams(buffer).view(np.int64), return_inverse=True)
+    at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
+    known = codes[at] == own if len(codes) else np.zeros(len(own), bool)
+    value = np.where(known, values[at] if len(codes) else 0.0, 0.0)
+    sums = np.add.reduceat(value[inverse], np.cumsum(sizes) - sizes)
+    missed = np.flatnonzero(~known[inverse])
+    pairs, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[missed] * len(own) + inverse[missed], return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(own))
+    return sums, offsets.astype(np.int32), own[pairs % len(own)], times
+
+
 def log_base(c, n: int, v: int):
     return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
 
-def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATES, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None = None, head: int = HEAD, most: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
     Learns from rows whose id's crc32 leaves another remainder than ``held``. A null or empty text has one token, its
-    end; a null id counts as the empty id; repeated rows count each time; without training rows all counts are 0.
+    end; a null id counts as the empty id; repeated rows count each time; without training rows all counts are 0. All contexts
+    are kept unless ``states`` says how many. ``head`` words and ``most`` byte strings are looked up in place, which changes no score.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    raw = written(gathered(rows.where("not held_out")), "lm-gathered")
+    raw = gathered(rows.where("not held_out")).withColumn("learnt", F.lit(True))
+    raw = written(raw.unionByName(gathered(rows.where("held_out")).where("gram is not null").withColumn("learnt", F.lit(False))), "lm-gathered")
     ends = rows.where("not held_out").select("doc_id").count()
-    model = trained(raw.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), states)
+    learnt = F.when(F.col("learnt"), F.col("n")).otherwise(0)
+    seen = written(raw.where("gram is not null").groupBy("gram").agg(F.sum(learnt).alias("n"), F.sum("n").alias("times")), "ppm-grams")
+    priced = written(seen.select("gram", "times").join(logs(seen, states), "gram"), "ppm-logs")
+    near = frequent(priced, most)
+    top = priced.where(near).select("gram", "log").toArrow()  # no row objects on the driver
+    codes, values = top["gram"].to_numpy(), top["log"].to_numpy()
+    order = np.argsort(codes)
+    codes, values = codes[order], values[order]
+    del top, order
     words = written(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    drop(raw)
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(sums.n) + ends, int(sums.v) + (ends > 0)
-    top = words.orderBy(F.desc("c"), "word").limit(head).toPandas()
-    sent = spark.sparkContext.broadcast((model, dict(zip(map(bytes, top["word"]), top["c"].astype(float), strict=True))))
+    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    sent = spark.sparkContext.broadcast((codes, values, known))
+    del top, known, codes, values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value
+        codes, values, known = sent.value
         logs = {w: float(np.log10((c + 1) / (n + v + 1))) for w, c in known.items()}
         end = float(np.log10((ends + 1) / (n + v + 1)))
         for batch in text_batches(batches):
@@ -223,14 +325,20 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATE
                 out["key"].append(hashlib.blake2b(t, digest_size=16).digest())
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
             arrays = [pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays, pa.array(model.score(texts))], ["doc_id", "held_out", *out, "score"])
+            sums, offsets, rare, times = looked_up(texts, codes, values)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.int64())) for x in (rare, times)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays, *lists, pa.array(sums)], ["doc_id", "held_out", *out, "grams", "times", "coded"])
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, part double, words array<binary>, counts array<long>, key binary, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, part double, words array<binary>, counts array<long>, key binary, grams array<long>, times array<long>, coded double"
     scored = written(rows.mapInArrow(run, schema), "lm-scored")
     rest = scored.where("size(words) > 0").select("key", "words", "counts").dropDuplicates(["key"])
     rest = rest.select("key", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rest = rest.join(words, "word", "left").groupBy("key").agg(F.sum(F.col("times") * log_base(c, n, v)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
+    rare = scored.where("size(grams) > 0").select("key", "grams", "times").dropDuplicates(["key"])
+    rare = rare.select("key", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("key", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
+    rare = rare.join(priced.where(~near).select("gram", "log"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("log")).alias("coded_more"))
+    rest = rest.unionByName(rare, allowMissingColumns=True).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("more", "found", "coded_more")))
     zero = F.lit(0)
     return scored.join(rest, "key", "left").select(
         "doc_id",
@@ -239,7 +347,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int = STATE
         (F.col("known") + F.coalesce("found", zero)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("coded") + F.coalesce("coded_more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -87,3 +87,16 @@ def test_without_rows(spark):
     got = P.scores(spark.createDataFrame([(only, "ab")], "doc_id long, text string")).first()
     assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (2, 0, 0, 0)
     assert got.score == pytest.approx(-3 * math.log10(255), rel=1e-5)
+
+
+@pytest.mark.parametrize("most", [P.GRAMS, 1000, 0])
+def test_every_context_counts(spark, most):
+    """More contexts than a model in memory keeps; byte strings looked up in place, in part, or all joined."""
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefghij klmnopqrstuvwxyz", k=80))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    contexts = {(k, t[max(0, p - k) : p], p < k) for i, t in rows if not held(i) for p in range(81) for k in range(P.ORDER + 1)}
+    assert len(contexts) > P.STATES
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in P.scores(docs, most=most).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute(rows, None)}, rel=1e-6)
