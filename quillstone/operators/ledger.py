@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +65,33 @@ def quorum(turnout: DataFrame, by: str, order: str, value: str, start: int, low:
 def pool_shares(moves: DataFrame, pool: str, order: str, amount: str) -> DataFrame:
     """pool, stake, shares: deposits (positive) mint amount * shares div stake, withdrawals burn alike; an ordered fold for each pool.
 
-    The first deposit gets as many shares as its amount. A pool's moves must fit one task's memory.
+    The first deposit gets as many shares as its amount. A pool's moves are sorted by Spark, which may spill, and pass by one after
+    the other: a task holds one pool's stake and shares, however many moves it has.
     """
-    kind = "decimal(38,0)"
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, amount))), lambda x: x[amount].cast(kind))
-    zero = F.struct(F.lit(0).cast(kind).alias("stake"), F.lit(0).cast(kind).alias("shares"))
-
-    def step(acc, x):
-        new = F.when(acc["stake"] == 0, x).otherwise(F.floor(F.try_divide(x * acc["shares"], acc["stake"])).cast(kind))
-        return F.struct((acc["stake"] + x).cast(kind).alias("stake"), (acc["shares"] + new).cast(kind).alias("shares"))
-
-    folded = moves.groupBy(pool).agg(steps.alias("v")).select(pool, F.aggregate("v", zero, step).alias("s"))
-    return folded.select(pool, F.col("s.stake").cast("bigint").alias("stake"), F.col("s.shares").cast("bigint").alias("shares"))
+    amounts = F.col(amount) if moves.schema[amount].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.col(amount).cast("decimal(38,0)")
+    dealt = moves.select(pool, order, amounts.alias(amount)).repartition(pool).sortWithinPartitions(pool, order, amount)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stake, shares, some = None, 0, 0, False
+        kind = None
+        for batch in batches:
+            out = []
+            kind = batch.schema.field(0).type
+            for name, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not some or name != held:
+                    if some:
+                        out.append((held, stake, shares))
+                    held, stake, shares, some = name, 0, 0, True
+                if x is None or stake is None:  # an unknown amount leaves the rest unknown
+                    stake = shares = None
+                    continue
+                x = int(x)
+                stake, shares = stake + x, shares + (x if stake == 0 else x * shares // stake)
+            yield rows(out, kind)
+        if some:
+            yield rows([(held, stake, shares)], kind)
+
+    def rows(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((kind, pa.int64(), pa.int64()))], [pool, "stake", "shares"])
+
+    return dealt.select(pool, amount).mapInArrow(fold, moves.select(pool).schema.add("stake", "long").add("shares", "long"))

@@ -177,3 +177,22 @@ def test_upsert_is_idempotent(spark, tmp_path):
     for _ in range(2):
         write(rows(("a", 3, 3)), 1)
     assert sorted(map(tuple, blocks.latest_rows(spark, str(tmp_path), ["k"], "t").collect())) == [("a", 3, 3), ("b", 1, 9)]
+
+
+def test_pool_shares_are_never_held_whole(spark):
+    rows = [(p, i, (i * 7919) % 1000 - 300) for i in range(3000) for p in (None, 1, 2) if p != 2 or i < 3] + [(3, 0, 5), (3, 1, None), (3, 2, 7)]
+    moves = spark.createDataFrame(rows, "pool long, i long, a long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = ledger.pool_shares(moves, "pool", "i", "a")
+        got = {r.pool: (r.stake, r.shares) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for p in (None, 1, 2):
+        stake = shares = 0
+        for _, _, a in sorted((r for r in rows if r[0] == p), key=lambda r: r[1]):
+            stake, shares = stake + a, shares + (a if stake == 0 else a * shares // stake)
+        want[p] = stake, shares
+    assert got == want | {3: (None, None)}
+    assert "collect_list" not in found._jdf.queryExecution().toString()
