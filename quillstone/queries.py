@@ -6,7 +6,6 @@ Amounts are whole micro-units, so sums don't depend on their order.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -614,10 +613,7 @@ def reorg_replay(spark, d):
 def stream_delay(spark, d):
     """The orders as a stream of blocks, all but the last five final."""
     rows = spark.readStream.schema(t(spark, d, "orders").schema).parquet(f"{d}/order[s].parquet")  # a pattern: the source takes no single file
-    name = f"final_{uuid.uuid4().hex}"
-    run = blocks.delayed(_chain(rows, F.lit("")), 5).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return blocks.settled(blocks.landed(_chain(rows, F.lit(""))), 5)
 
 
 @query("""

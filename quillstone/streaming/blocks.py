@@ -7,6 +7,8 @@ fork's height on are dropped and the new branch takes their place.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -60,6 +62,41 @@ def delayed(blocks: DataFrame, depth: int) -> DataFrame:
     return blocks.groupBy("chain").applyInPandasWithState(run, BLOCK, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def landed(blocks: DataFrame) -> DataFrame:
+    """All that a stream of ``blocks`` has now, as a table: written as Parquet into the shared folder, not gathered."""
+    spark = blocks.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
+    path = f"{base.rstrip('/')}/quillstone/blocks-{uuid.uuid4().hex}"
+    run = blocks.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(blocks.schema).parquet(f"{path}/rows")
+
+
+def settled(blocks: DataFrame, depth: int) -> DataFrame:
+    """The final blocks of a table of ``blocks``: those at least ``depth`` below their chain's top, and on its branch.
+
+    Of several blocks at a height that stays on which others stand; each round cuts the ends of lost branches. A block whose parent
+    is missing, and two branches that both reach into the last ``depth`` heights from below them, are errors.
+    """
+    rows = blocks.select("chain", "height", "hash", "parent").distinct()
+    ends = F.broadcast(rows.groupBy("chain").agg(F.max("height").alias("top"), F.min("height").alias("bottom")))  # one row a chain
+    parents = rows.select("chain", (F.col("height") + 1).alias("height"), F.col("hash").alias("parent"))
+    orphan = rows.join(ends, "chain").where(F.col("height") > F.col("bottom")).join(parents, ["chain", "height", "parent"], "left_anti").first()
+    if orphan:
+        raise ValueError(f"block {orphan.height} has no parent here")
+    while True:
+        low = F.col("height") <= F.col("top") - depth
+        forks = rows.groupBy("chain", "height").count().where("count > 1").join(ends, "chain").where(low).select("chain", "height")
+        if forks.isEmpty():
+            return rows.join(ends, "chain").where(low).select("chain", "height", "hash", "parent")
+        children = rows.select("chain", (F.col("height") - 1).alias("height"), F.col("parent").alias("hash"))
+        lost = rows.join(forks, ["chain", "height"], "left_semi").join(children, ["chain", "height", "hash"], "left_anti").select("chain", "height", "hash")
+        lost = lost.localCheckpoint()  # the ends of lost branches only
+        if lost.isEmpty():
+            raise ValueError("a fork is below the delay")
+        rows = rows.join(lost, ["chain", "height", "hash"], "left_anti").select("chain", "height", "hash", "parent")
+
+
 def fork_height(old: DataFrame, new: DataFrame) -> DataFrame:
     """chain, fork: the height of the first block of ``new`` that ``old`` does not have at that height."""
     held = old.select("chain", "height", F.col("hash").alias("held"))

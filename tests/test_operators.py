@@ -5,6 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import queries
 from quillstone.operators import joins, ledger, ranks, rights
 from quillstone.operators.series import Collapse, series
 from quillstone.plans.query import TableQuery, condition
@@ -196,3 +197,25 @@ def test_pool_shares_are_never_held_whole(spark):
         want[p] = stake, shares
     assert got == want | {3: (None, None)}
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_settled_blocks(spark):
+    chain = [("x", h, f"{h}a", f"{h - 1}a") for h in range(1, 30)] + [("y", h, f"{h}a", f"{h - 1}a") for h in range(5, 8)]
+    lost = [("x", 10, "10b", "9a"), ("x", 11, "11b", "10b"), ("x", 28, "28b", "27a")]
+    table = lambda rows: spark.createDataFrame(rows, blocks.BLOCK)
+    got = sorted(map(tuple, blocks.settled(table(chain + lost + chain[:3]), 4).collect()))
+    assert got == sorted(r for r in chain if r[0] == "x" and r[1] <= 25)
+    held, final = [], []
+    for _, *block in chain[:29]:
+        held, done = blocks.accept(held, tuple(block), 4)
+        final += done
+    assert final == [r[1:] for r in got]
+    for wrong in (chain[:10] + chain[11:], [*chain, ("x", 9, "9c", "8c")]):
+        with pytest.raises(ValueError):
+            blocks.settled(table(wrong), 4)
+
+
+def test_stream_delay_is_not_gathered(spark):
+    found = queries.QUERIES["stream_delay"](spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert found.inputFiles() and found.count() == orders - 5
