@@ -323,12 +323,14 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool
     distinct = written(distinct, "sa-distinct")
     shared = distinct.groupBy("hash").agg(F.sum("m").alias("all"), F.count("*").alias("d")).where("all > 1").select("hash", F.ceil(F.col("d") / REGIONS).cast("int").alias("parts"))
     asked = written(distinct.join(shared, "hash"), "sa-asked")
-    # Each text's runs that may repeat; ``rep`` where this text gives the region.
+    # Each text's runs that may repeat; ``rep`` where this text gives the region. Both lists are written before they are joined
+    # to the rows, so that the join is split where one text has very many copies.
     lists = all_runs.join(asked, ["hash", "digest"]).groupBy("key").agg(F.collect_set(F.struct("hash", "digest", "at", "n", "m", "parts", F.when((F.col("rep.key") == F.col("key")) & (F.col("rep.at") == F.col("at")), F.struct(F.col("rep.doc_id").alias("doc_id"))).alias("rep"))).alias("runs"))
+    lists = written(lists, "sa-lists")
+    drop(all_runs, distinct, asked)
     known = docs.join(lists, "key", "left")
     known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), (F.lit(None).cast("string") if whole else F.sha2("text", 256)).alias("sha256"), (F.col("text") if whole else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs")
     known = written(known, "sa-known")
-    drop(all_runs, distinct, asked)
     regions = known.where("runs is not null").select("doc_id", "text", F.explode("runs").alias("r")).where(F.col("r.rep").isNotNull() & F.col("r.rep.doc_id").eqNullSafe(F.col("doc_id")))
     regions = regions.select("r.hash", F.pmod("r.digest", "r.parts").cast("int").alias("part"), "r.parts", "r.digest", "r.m", "r.n", F.substring("text", F.col("r.at").cast("int") + 1, (F.col("r.n") + length - 1).cast("int")).alias("region"))
     dealt = regions.repartition(parts_for(spark), "hash", "part").sortWithinPartitions("hash", "part")
@@ -339,10 +341,11 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool
     spans = written(spans.groupBy("hash", "digest").agg(F.collect_set(F.struct("a", "b")).alias("s")), "sa-spans")
     drop(found)
     # From regions to texts: windows [a, b] cover bytes a to b + length - 1.
-    places = known.where("runs is not null").select("key", F.explode("runs").alias("r")).select("key", "r.hash", "r.digest", "r.at")
+    places = lists.select("key", F.explode("runs").alias("r")).select("key", "r.hash", "r.digest", "r.at")
     cover = F.transform("s", lambda x: F.struct((F.col("at") + x["a"]).alias("start"), (F.col("at") + x["b"] + length).alias("stop")))
     covers = places.join(spans, ["hash", "digest"]).select("key", F.explode(cover).alias("x"))
-    covers = covers.groupBy("key").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+    covers = written(covers.groupBy("key").agg(F.sort_array(F.collect_set("x")).alias("spans")), "sa-covers")
+    drop(lists, spans)
     hit = known.where("runs is not null").drop("runs").join(covers, "key", "left")
     rest = known.where("runs is null").drop("runs").withColumn("spans", F.lit(None).cast(covers.schema["spans"].dataType))
     return hit.unionByName(rest)
