@@ -309,11 +309,11 @@ def merged(blocks: DataFrame) -> DataFrame:
     return blocks.select("range", "block").mapInArrow(run, "hash long, digest long, a long, b long")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool = False) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = ()) -> DataFrame:
     """``docs`` (doc_id, text) with ``spans``, the sorted byte spans that repeated windows cover.
 
     Texts are told apart by their bytes, so repeated ids do no harm; a null text is empty. Returns doc_id, the columns
-    ``keep``, key, n_bytes, sha256, text (bytes; null where no span can be, unless ``whole``), spans (null where there are none).
+    ``keep``, key, n_bytes, text (bytes), spans (null where there are none).
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -329,7 +329,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: tuple = (), whole: bool
     lists = written(lists, "sa-lists")
     drop(all_runs, distinct, asked)
     known = docs.join(lists, "key", "left")
-    known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), (F.lit(None).cast("string") if whole else F.sha2("text", 256)).alias("sha256"), (F.col("text") if whole else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs")
+    known = known.select("doc_id", *keep, "key", F.octet_length("text").cast("long").alias("n_bytes"), "text", "runs")
     known = written(known, "sa-known")
     regions = known.where("runs is not null").select("doc_id", "text", F.explode("runs").alias("r")).where(F.col("r.rep").isNotNull() & F.col("r.rep.doc_id").eqNullSafe(F.col("doc_id")))
     regions = regions.select("r.hash", F.pmod("r.digest", "r.parts").cast("int").alias("part"), "r.parts", "r.digest", "r.m", "r.n", F.substring("text", F.col("r.at").cast("int") + 1, (F.col("r.n") + length - 1).cast("int")).alias("region"))
@@ -364,9 +364,11 @@ def cut(data: bytes, spans: list[dict]) -> tuple[bytes, int]:
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null, empty and short texts lose nothing; repeated rows are repeats of each other; no rows give no rows.
+    ``text`` is what is left, without characters that a cut has left incomplete; the digest is of all bytes that are left. Null,
+    empty and short texts lose nothing and come out empty or unchanged; repeated rows are repeats of each other; texts of any
+    length are handled in pieces of bounded size; no rows give no rows.
     """
     found = removed(docs, length)
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -374,23 +376,26 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             rows = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            kept = pa.array([len(k) for k, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), kept, pa.array([n for _, n in rows], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in rows])], ["doc_id", "n_bytes", "n_kept", "n_spans", "kept_sha256"])
+            arrays = [pa.array([len(k) for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in rows])]
+            texts = pa.array([k.decode(errors="ignore") for k, _ in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays, texts], ["doc_id", "n_bytes", "n_kept", "n_spans", "kept_sha256", "text"])
 
-    hit = found.where("spans is not null").select("doc_id", "n_bytes", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_kept long, n_spans long, kept_sha256 string")
-    hit = hit.select("doc_id", "n_bytes", (F.col("n_bytes") - F.col("n_kept")).alias("n_removed"), "n_spans", "kept_sha256")
+    hit = found.where("spans is not null").select("doc_id", "n_bytes", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_kept long, n_spans long, kept_sha256 string, text string")
+    hit = hit.select("doc_id", "n_bytes", (F.col("n_bytes") - F.col("n_kept")).alias("n_removed"), "n_spans", "kept_sha256", "text")
     none = F.lit(0).cast("long")
-    return hit.unionByName(found.where("spans is null").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha256").alias("kept_sha256")))
+    same = found.where("spans is null").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("string").alias("text"))
+    return hit.unionByName(same)
 
 
 def without_repeats(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with repeated byte strings cut from the texts, n_chars counted anew where it is a column; every row stays.
 
-    A character that a cut leaves incomplete goes too; texts that lose nothing are unchanged.
+    A character that a cut leaves incomplete goes too; texts that lose nothing are unchanged, nulls included; repeated rows are
+    repeats of each other; other columns may have any names but ``__rest``; no rows give no rows.
     """
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     held = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("__null")).alias("__rest"))
-    found = removed(held, length, ("__rest",), whole=True)
+    found = removed(held, length, ("__rest",))
     schema = found.select("doc_id", "__rest").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

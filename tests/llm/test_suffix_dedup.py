@@ -17,7 +17,7 @@ def brute(texts, length):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out.append((len(t), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
     return out
 
 
@@ -107,3 +107,11 @@ def test_suffix_array_and_prefixes():
 
 def test_empty_table(spark):
     assert D.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "ab" * 300, "x", "y", "z"), (1, "ab" * 300, None, None, None), (None, None, "q", "q", "q")], "doc_id long, text string, spans string, hash string, runs string")
+    got = sorted(map(tuple, D.deduplicated(docs).collect()), key=repr)
+    assert [r[:4] for r in got] == [(1, 600, 600, 1), (1, 600, 600, 1), (None, 0, 0, 0)]
+    out = D.without_repeats(docs, 400)
+    assert out.columns == docs.columns and sorted((r.spans or "") for r in out.collect()) == ["", "q", "x"]
