@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in blocks.
 
 Each source's documents are laid end to end and packed into blocks of ``block`` words. The mix has ``target`` words of
-each source: slots that take blocks. A shard of the output has ``shard`` slots; how many belong to which source is a
-multinomial draw, conditioned on every source's slots being used up at the end. To draw shards apart from each other, the
-range of shards is halved again and again; each half's counts are one such draw (multivariate hypergeometric), seeded
-by its place. Slot t of a source takes block perm(t mod n) of its n blocks, where perm is a keyed pseudorandom
-permutation of the indexes, another one each time round. Blocks and slots are then joined by source and index.
+each source: slots that take blocks. A shard of the output has ``shard`` slots on average; a source's slots are dealt to the
+shards by a multinomial draw, all shards alike likely: the range of shards is halved again and again, each half's count is a
+binomial draw seeded by its source and place, down to a few thousand slots, which are drawn one by one. So any stretch of shards can be
+drawn apart from the others, totals may have 64 bits, and no step needs all sources or all shards together. Slot t of a source
+takes block perm(t mod n) of its n blocks, where perm is a keyed pseudorandom permutation of the indexes, another one each time
+round. Blocks and slots are then joined by source and index.
 
 So a block is taken floor or ceil of (target / size) times, its last slot is cut to the word, each source's words are its
 rounded target, and nothing depends on the order of rows or tasks.
@@ -31,25 +32,11 @@ MOST = 2.0
 BLOCK = 128
 SHARD = 8192
 SEED = 20240229
-#: Sources that the driver works out targets for (three numbers each).
-MOST_SOURCES = 100_000
+#: Slots that are drawn one by one, and that one row of work holds, about.
+DRAWN = 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = MOST) -> np.ndarray:
-    """``total`` dealt by weight, no share above ``most`` times its size; the excess goes to the rest by weight."""
-    sizes, weights = np.asarray(sizes, float), np.asarray(weights, float)
-    out, full = np.zeros(len(sizes)), np.zeros(len(sizes), bool)
-    while not full.all():
-        rest = total - most * sizes[full].sum()
-        out = np.where(full, most * sizes, max(rest, 0.0) * weights / weights[~full].sum())
-        over = ~full & (out > most * sizes)
-        if not over.any():
-            break
-        full |= over
-    return np.minimum(out, most * sizes)
-
-
 def _mix64(x: np.ndarray, key: int) -> np.ndarray:
     x = (x ^ np.uint64(key & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -84,20 +71,28 @@ def _key(seed: int, *parts: int) -> int:
     return int(x[0])
 
 
-def shard_counts(slots: np.ndarray, shards: int, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each source's slots before this shard and in it, by draws on the way down the halved range of shards."""
-    low, high, left, before = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
-    total = int(slots.sum())
-    while high - low > 1:
-        mid = (low + high) // 2
-        take = min(mid * size, total) - min(low * size, total)
-        rng = np.random.default_rng([seed, low, high])
-        drawn = rng.multivariate_hypergeometric(left, take, method="marginals") if take < left.sum() else left.copy()
-        if shard < mid:
-            high, left = mid, drawn
+def shard_counts(slots: int, shards: int, first: int, last: int, source: int, seed: int) -> tuple[int, np.ndarray]:
+    """A source's slots before the shard ``first``, and in each of the shards from it to ``last`` - 1, by draws on the way down the halved range."""
+    before, counts, todo = 0, np.zeros(last - first, np.int64), [(0, shards, slots)]
+    while todo:
+        low, high, n = todo.pop()
+        if not n or low >= last:
+            continue
+        if high <= first:
+            before += n
+        elif high - low == 1:
+            counts[low - first] += n
         else:
-            low, left, before = mid, left - drawn, before + drawn
-    return before, left
+            rng = np.random.default_rng([seed, source, low, high])
+            if n <= DRAWN:
+                drawn = rng.integers(low, high, n)
+                before += int((drawn < first).sum())
+                counts += np.bincount(drawn[(drawn >= first) & (drawn < last)] - first, minlength=last - first)
+            else:
+                mid = (low + high) // 2
+                left = int(rng.binomial(n, (mid - low) / (high - low)))
+                todo += [(low, mid, left), (mid, high, n - left)]
+    return before, counts
 
 
 class Plan:
@@ -138,10 +133,33 @@ class Plan:
         return blocks, words
 
 
-def sources(docs: DataFrame) -> DataFrame:
-    """Distinct sources with their words and rank by code point, null last."""
+def sources(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """source, rank (by code point, null last), source_size, target of each distinct source; written.
+
+    Ranks are numbered in ranges of the order. ``share`` of all words is dealt by weight, no target above ``most`` times its
+    source's size, the excess to the rest by weight: sources are full from some level of words a weight on, and a sum over them tells
+    the next, higher level, until no more are full. A row for each source takes part, none goes to the driver.
+    """
+    order = F.col("source").asc_nulls_last()
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranged = written(sums.repartitionByRange(parts_for(docs.sparkSession), order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    rows = ranged.groupBy("part").count()  # a row for each range
+    bases = rows.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("base")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
+    out = ranged.join(F.broadcast(bases), "part").select("source", rank.alias("rank"), "source_size", weight.alias("weight"))
+    out = written(out, "mix-ranks")
+    drop(ranged)
+    total, rest, weights, n = None, 0.0, 0.0, -1
+    while True:
+        full = F.lit(False) if total is None else F.lit(rest) * F.col("weight") / F.lit(weights) > most * F.col("source_size")
+        found = out.agg(F.sum("source_size").alias("words"), F.sum(F.when(full, F.col("source_size"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("weights"), F.count(F.when(full, 1)).alias("n")).first()
+        if not found.weights or found.n == n:
+            break
+        total, n = share * (found.words or 0), found.n
+        rest, weights = max(total - most * (found.full or 0), 0.0), found.weights
+    dealt = F.lit(rest) * F.col("weight") / F.lit(weights) if weights else F.lit(0.0)
+    return out.select("source", "rank", "source_size", F.least(dealt, most * F.col("source_size")).alias("target"))
 
 
 def laid_out(docs: DataFrame, rows: int) -> DataFrame:
@@ -159,50 +177,52 @@ def laid_out(docs: DataFrame, rows: int) -> DataFrame:
     return docs.join(sums, ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("within")).drop("bucket", "base", "within")
 
 
-def slots(spark: SparkSession, plans: list[tuple[int, int, float]], block: int, shard: int, seed: int) -> DataFrame:
-    """shard, slot, rank, block, words: the mix. ``plans``: rank, size and target of each source, bounded by MOST_SOURCES."""
-    total = np.array([Plan(size, target, block, rank, seed).slots for rank, size, target in plans], np.int64)
-    shards = max(1, math.ceil(int(total.sum()) / shard)) if len(total) else 0
-    sent = spark.sparkContext.broadcast((plans, total))
+def slots(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
+    """shard, slot (an order within the shard), rank, block, words: the mix. ``sources``: rank, source_size, target.
+
+    A source's shards are dealt to tasks in stretches of some ``DRAWN`` slots, so a source of any share takes many tasks.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = zip(frame["rank"], frame["source_size"], frame["target"], strict=True)
+            yield frame.assign(n=np.array([Plan(int(s), float(t), block, int(r), seed).slots for r, s, t in rows], np.int64))
+
+    plans = written(sources.select("rank", "source_size", "target").mapInPandas(count, "rank long, source_size long, target double, n long"), "mix-plans")
+    total = plans.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    parts = F.least(F.ceil(F.col("n") / DRAWN), F.lit(shards))
+    units = plans.where("n > 0").select("*", parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans, total = sent.value
-        made = [Plan(size, target, block, rank, seed) for rank, size, target in plans]
         for frame in frames:
-            for s in frame["id"]:
-                before, count = shard_counts(total, shards, int(s), shard, seed)
-                some = [(p.source, *p.take(int(b), int(b + c))) for p, b, c in zip(made, before, count, strict=True) if c]
-                if not some:
-                    continue
-                rank = np.concatenate([np.full(len(x[1]), x[0]) for x in some])
-                order = np.random.default_rng([seed, 1, int(s)]).permutation(len(rank))
-                yield pd.DataFrame({"shard": int(s), "slot": np.arange(len(rank)), "rank": rank[order], "block": np.concatenate([x[1] for x in some])[order], "words": np.concatenate([x[2] for x in some])[order]})
+            for rank, size, target, n, parts, part in frame[["rank", "source_size", "target", "n", "parts", "part"]].itertuples(index=False):
+                plan = Plan(int(size), float(target), block, int(rank), seed)
+                first, last = shards * int(part) // int(parts), shards * (int(part) + 1) // int(parts)
+                before, counts = shard_counts(int(n), shards, first, last, int(rank), seed)
+                ends = np.cumsum(counts)
+                for a in range(0, int(counts.sum()), 1 << 16):
+                    at = np.arange(a, min(a + (1 << 16), int(ends[-1])))
+                    blocks, words = plan.take(before + int(at[0]), before + int(at[-1]) + 1)
+                    order = _mix64((before + at).astype(np.uint64), _key(seed, int(rank), 1 << 32)) >> np.uint64(1)
+                    yield pd.DataFrame({"shard": first + np.searchsorted(ends, at, side="right"), "slot": order.astype(np.int64), "rank": np.int64(rank), "block": blocks, "words": words})
 
-    ids = spark.range(0, shards, 1, max(1, min(shards, parts_for(spark))))
-    return ids.mapInPandas(run, "shard long, slot long, rank int, block long, words long")
+    dealt = units.repartition(parts_for(sources.sparkSession), "rank", "part")
+    return dealt.mapInPandas(run, "shard long, slot long, rank long, block long, words long")
 
 
 class Mix:
     """The parts of a mix: ``docs`` (with size, rank, start), ``sources`` (with target), ``slots``."""
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, share: float = SHARE, most: float = MOST, keep: tuple = ()):
-        spark = docs.sparkSession
         self.block = block
         sized = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         self.sized = written(sized, "sizes")
-        found = sources(self.sized).limit(MOST_SOURCES + 1).orderBy("rank").collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        sizes = np.array([r.source_size for r in found], np.int64)
-        weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-        goals = targets(sizes, weights, share * sizes.sum(), most)
-        plans = [(i, int(s), float(t)) for i, (s, t) in enumerate(zip(sizes, goals, strict=True))]
-        names = [(r.source, i, int(r.source_size), float(goals[i])) for i, r in enumerate(found)]
-        self.sources = spark.createDataFrame(names, "source string, rank int, source_size long, target double")
-        ranked = self.sized.join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
+        self.sources = sources(self.sized, share, most)
+        ranked = self.sized.join(self.sources, self.sized["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
         self.docs = written(laid_out(ranked, self.sized.count()), "laid-out")
         drop(self.sized)
-        self.slots = slots(spark, plans, block, shard, seed)
+        self.slots = slots(self.sources, block, shard, seed)
 
     def pieces(self) -> DataFrame:
         """rank, block, start, skip, n: which words of the document at ``start`` stand where in the block."""
@@ -239,7 +259,8 @@ def mix(docs: DataFrame, **kind) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text).
 
     A null text has size 0 and is never taken; null is a source of its own, the last; repeated rows are packed like any
-    other; without words every target is 0; no rows give no rows.
+    other; a text of any length is so many words in as many blocks; other columns may have any names; without words every target is
+    0; no rows give no rows.
     """
     return Mix(docs, **kind).taken().select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

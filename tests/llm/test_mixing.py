@@ -24,21 +24,63 @@ def test_plan_takes_the_target(size, target):
     assert max(n.values(), default=0) <= 2
 
 
-def test_targets():
-    got = M.targets(np.array([100, 10, 50]), np.array([5.0, 2.0, 1.0]), 240.0)
-    assert got.tolist() == pytest.approx([550 / 3, 20.0, 110 / 3])
-    assert M.targets(np.array([0, 0]), np.array([5.0, 2.0]), 0.0).tolist() == [0.0, 0.0]
-
-
-def test_shards_use_up_all_slots():
-    slots = np.array([700, 31, 0, 269])
-    got = [M.shard_counts(slots, 7, s, 150, 5) for s in range(7)]
-    assert sum(c for _, c in got).tolist() == slots.tolist()
-    assert [int(c.sum()) for _, c in got] == [150] * 6 + [100]
-    before = np.zeros(4, int)
-    for b, c in got:
-        assert b.tolist() == before.tolist()
-        before += c
+def plain_targets(sizes, weights, total, most=2.0):
+    """Dealt by weight; whoever is above ``most`` times its size stops there, and the rest is dealt anew."""
+    full = [False] * len(sizes)
+    while True:
+        rest = total - sum(most * s for s, f in zip(sizes, full, strict=True) if f)
+        w = sum(w for w, f in zip(weights, full, strict=True) if not f)
+        out = [most * s if f else max(rest, 0) * x / w for s, x, f in zip(sizes, weights, full, strict=True)]
+        over = [not f and t > most * s for t, s, f in zip(out, sizes, full, strict=True)]
+        if not any(over):
+            return out
+        full = [f or o for f, o in zip(full, over, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [[100, 10, 50], [1000, 1, 2, 3, 0, 700, 5], [7], [0, 9, 0]])
+def test_targets(spark, sizes):
+    docs = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, size long")
+    got = sorted(map(tuple, M.sources(docs).collect()))
+    want = plain_targets(sizes, [M.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+    assert [r[1:3] for r in got] == [(i, n) for i, n in enumerate(sizes)]
+    assert [r[3] for r in got] == pytest.approx(want)
+
+
+def test_more_sources_than_one_task_would_hold(spark):
+    n = 120_000
+    docs = spark.range(n).selectExpr("concat('s', lpad(id, 7, '0')) as source", "pmod(id * 7919, 97) + 1 as size")
+    docs = docs.unionByName(spark.createDataFrame([(None, 5)], "source string, size long"))
+    got = M.sources(docs).orderBy("rank").toPandas()
+    assert got["rank"].tolist() == list(range(n + 1)) and got["source"].iloc[-1] is None and got["source"].iloc[:-1].is_monotonic_increasing
+    sizes = got["source_size"].to_numpy(float)
+    assert got["target"].sum() == pytest.approx(1.5 * sizes.sum()) and (got["target"] <= 2 * sizes).all()
+    level = got["target"] / np.array([M.WEIGHTS[i % 3] for i in range(n + 1)])
+    free = got["target"] < 2 * sizes
+    assert level[free].max() == pytest.approx(level[free].min()) and level[~free].max() <= level[free].min()
+    small = M.slots(M.sources(docs).where("rank % 40 = 0"), 128, 50, 1)
+    assert small.groupBy("rank").agg({"words": "sum"}).count() > 2900
+
+
+@pytest.mark.parametrize(("n", "shards"), [(31, 7), (700, 7), (0, 3), (20_000, 5), (10**6, 97)])
+def test_shards_use_up_all_slots(n, shards):
+    before, counts = M.shard_counts(n, shards, 0, shards, 4, 5)
+    assert before == 0 and counts.sum() == n and (counts >= 0).all()
+    for first in range(shards):
+        part = M.shard_counts(n, shards, first, min(first + 2, shards), 4, 5)
+        assert part[0] == counts[:first].sum() and part[1].tolist() == counts[first : first + 2].tolist()
+    if n >= 20_000:
+        assert abs(counts - n / shards).max() < 6 * (n / shards) ** 0.5
+
+
+def test_totals_of_many_bits():
+    n, shards = 10**12, 10**8
+    before, counts = M.shard_counts(n, shards, 5 * 10**7, 5 * 10**7 + 50, 0, 1)
+    assert abs(before - n / 2) < 6 * n**0.5 / 2 and abs(counts - 10_000).max() < 600
+    again = M.shard_counts(n, shards, 5 * 10**7 + 50, 5 * 10**7 + 51, 0, 1)
+    assert again[0] == before + counts.sum()
+    plan = M.Plan(10**15, 1.7 * 10**15, 128, 0, 1)
+    blocks, words = plan.take(plan.slots - 1000, plan.slots)
+    assert 0 < words.min() <= words.max() <= 128 and blocks.max() < plan.n
 
 
 def brute(mix):
@@ -115,3 +157,13 @@ def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = M.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in got) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    rows = [(1, "w " * 300_000, "a", "r", "b"), (2, "x y z", "b", "r", "b"), (2, "x y z", "b", "r", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank string, block string")
+    got = sorted(map(tuple, M.mix(docs).collect()))
+    assert [r[:3] for r in got] == [(1, 300_000, 300_000), (2, 3, 6), (2, 3, 6)]
+    assert sum(r[4] for r in got) == 450_009 and got[1][4] + got[2][4] == 12
+    out = M.mixed(docs)
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect()) == 450_009
