@@ -1,13 +1,14 @@
 """Language-model scores: prediction by partial matching over bytes, beside smoothed word counts.
 
-The corpus's counts of byte strings of ``ORDER`` + 1 symbols are gathered by Spark from all training rows; shorter contexts
-are their marginals. A symbol is coded in the longest context that was counted: seen n times there, it gets n / (T + D) with T
-symbols and D distinct ones in that context; else the code escapes with D / (T + D) to the next shorter context, where
-the symbols of the longer one are excluded; below order 0 the symbols never seen share evenly. As all of a
-context's symbols are also its suffix's, this is a fixed function of the ``ORDER`` bytes before a symbol and of the symbol.
+What is coded is the text as tokens: A-Z lower-cased, its words with one blank between, and an end symbol, so that a score is the
+log10 probability of the same event as the base's. The corpus's counts of byte strings of ``ORDER`` + 1 symbols are gathered by
+Spark from all training rows; a shorter context counts each of its symbols once for every longer context that has it (update
+exclusion), which tells best what comes after an escape. A symbol is coded in the longest context that was counted: seen n times
+there, it gets (n - 1/2) / T with T symbols and D distinct ones in that context (method D); else the code escapes with D / 2T to
+the next shorter context, where the symbols of the longer one are excluded; below order 0 the symbols never seen share evenly. As
+all of a context's symbols are also its suffix's, this is a fixed function of the ``ORDER`` bytes before a symbol and of the symbol.
 So every context counts, however rare: Spark works out the logarithm of each distinct byte string of the corpus by joins order by
-order, the ``GRAMS`` most frequent are looked up in the workers, the rest are joined to the texts that have them. A text's code ends
-with an end symbol, so that scores are log10 probabilities of whole texts.
+order, the ``GRAMS`` most frequent are looked up in the workers, the rest are joined to the texts that have them.
 """
 
 from __future__ import annotations
@@ -15,10 +16,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +25,14 @@ from pyspark.sql import functions as F
 from .common import drop, remainder, table, text_batches, text_bytes, written
 
 ORDER = 5
-#: Contexts of a ``Model`` held in memory; the queries' scores have no such bound.
-STATES = 65536
+#: What method D takes off a symbol's count for the escape.
+LESS = 0.5
 #: The byte strings, at most, that are looked up in the workers; the rest are joined.
 GRAMS = 1 << 20
-#: The words that are looked up in the workers; the rest are joined.
-HEAD = 196608
+#: The words that are looked up in the workers, at most, and their bytes; the rest and longer ones are joined.
+HEAD, HEAD_BYTES = 196608, 64
 END, PAD = 0xFE, 0xFF  # bytes that UTF-8 never has
 SYMBOLS = 255
-LANES = 2048
 #: Distinct strings and words that a worker gathers before it passes them on.
 GATHERED = 1_500_000
 WORDS_GATHERED = 200_000
@@ -47,6 +45,11 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x for t in texts for x in (pad, t, end)), np.uint8), starts
 
 
+def tokens(text: bytes) -> list[bytes]:
+    """The words, A-Z lower-cased."""
+    return text.lower().split()
+
+
 def grams(buffer: np.ndarray) -> np.ndarray:
     """For each symbol that is coded: itself (low byte) and the ``ORDER`` before it, as one integer."""
     codes = np.zeros(len(buffer) - ORDER, np.uint64)
@@ -82,11 +85,11 @@ def gathered(docs: DataFrame) -> DataFrame:
             )
 
         for batch in text_batches(batches):
-            texts = text_bytes(batch.column("text"))
-            buffer, _ = laid_out(texts)
+            lists = [tokens(t) for t in text_bytes(batch.column("text"))]
+            buffer, _ = laid_out([b" ".join(x) for x in lists])
             keys, counts = _added(keys, counts, *np.unique(grams(buffer), return_counts=True))
-            for t in texts:
-                words.update(t.lower().split())
+            for x in lists:
+                words.update(x)
             if len(keys) > GATHERED or len(words) > WORDS_GATHERED:
                 yield out(keys, counts, words)
                 keys, counts, words = *none, Counter()
@@ -95,128 +98,32 @@ def gathered(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, word binary, n long")
 
 
-class Model:
-    """The trie's contexts and counts, as compact arrays that a broadcast may carry."""
-
-    def __init__(self, contexts: pd.DataFrame, entries: pd.DataFrame):
-        """contexts: k, ctx; entries: k, ctx, sym, n of those contexts."""
-        self.codes = np.unique(contexts["k"].to_numpy(np.int64) << 56 | contexts["ctx"].to_numpy(np.int64))
-        state = np.searchsorted(self.codes, entries["k"].to_numpy(np.int64) << 56 | entries["ctx"].to_numpy(np.int64))
-        order = np.lexsort((entries["sym"].to_numpy(np.int64), state))
-        self.sym, self.n = entries["sym"].to_numpy(np.uint8)[order], entries["n"].to_numpy(np.float64)[order]
-        self.at = np.searchsorted(state[order], np.arange(len(self.codes) + 1))
-
-    def states(self, codes: np.ndarray) -> np.ndarray:
-        """The state of each context; -1: not kept."""
-        if not len(self.codes):
-            return np.full(codes.shape, -1)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
-
-    def counts(self, states: np.ndarray) -> np.ndarray:
-        """Dense counts of the symbols after each state; none for -1."""
-        out = np.zeros((len(states), 256))
-        known = np.flatnonzero(states >= 0)
-        size = self.at[states[known] + 1] - self.at[states[known]]
-        rows = np.repeat(known, size)
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[states[known]], size)
-        out[rows, self.sym[at]] = self.n[at]
-        return out
-
-    def expand(self) -> None:
-        """The tables: log10 probability and next state for each state and symbol."""
-        n = max(1, len(self.codes))
-        k, ctx = (self.codes >> 56, self.codes & ((1 << 56) - 1)) if len(self.codes) else (np.zeros(1, np.int64),) * 2
-        shorter = self.states(np.where(k > 0, k - 1 << 56 | ctx & ((1 << 8 * np.maximum(k - 1, 0)) - 1), -1))
-        self.next = np.zeros((n, 256), np.int32)
-        for order in range(ORDER + 1):
-            rows = np.flatnonzero(k == order)
-            if order:
-                self.next[rows] = self.next[shorter[rows]]
-            children = np.flatnonzero(k == order + 1)
-            self.next[self.states(np.full(len(children), order << 56) | ctx[children] >> 8), ctx[children] & 255] = children
-        self.log = np.zeros((n, 256), np.float32)
-        for at in range(0, n, 2048):
-            now = np.arange(at, min(n, at + 2048)) if len(self.codes) else np.array([-1])
-            log, out, seen = np.zeros(len(now)), np.zeros((len(now), 256)), np.zeros((len(now), 256), bool)
-            for _ in range(ORDER + 1):
-                counts = self.counts(now)
-                counts[seen] = 0
-                total, distinct = counts.sum(1), (counts > 0).sum(1)
-                some = np.log10(np.maximum(total + distinct, 1))
-                hit = counts > 0
-                out[hit] = (log[:, None] + np.log10(np.maximum(counts, 1)) - some[:, None])[hit]
-                log = log + np.where(distinct > 0, np.log10(np.maximum(distinct, 1)) - some, 0)
-                seen |= hit
-                now = np.where(now >= 0, shorter[now], -1)
-            rest = np.log10(np.maximum(SYMBOLS - seen.sum(1), 1))
-            out = np.where(seen, out, (log - rest)[:, None])
-            out[:, PAD] = 0
-            self.log[at : at + len(out)] = out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        if not hasattr(self, "next"):
-            self.expand()
-        buffer, starts = laid_out(texts)
-        lanes = min(LANES, len(buffer))
-        steps = -(-len(buffer) // lanes)
-        whole = np.full(ORDER + lanes * steps, PAD, np.uint8)
-        whole[ORDER : ORDER + len(buffer)] = buffer
-        first = np.arange(lanes) * steps
-        next_, log = self.next.ravel(), self.log.ravel()
-        state, out = np.zeros(lanes, np.int32), np.empty((steps, lanes), np.float32)
-        for t in range(-ORDER, steps):  # the bytes before a lane settle its state
-            at = (state << 8) | whole[first + (ORDER + t)]
-            if t >= 0:
-                np.take(log, at, out=out[t])
-            state = next_[at]
-        return np.add.reduceat(out.T.ravel()[: len(buffer)].astype(np.float64), starts) if texts else np.zeros(0)
-
-
-def trained(grams: DataFrame, states: int = STATES) -> Model:
-    """A small model in memory of aggregated counts (gram, n): the driver gets the kept contexts' counts only, which ``states`` bounds."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
-    mask = F.expr("shiftleft(1L, 8 * k) - 1")
-    each = grams.select("gram", "n", k).select("k", F.shiftright("gram", 8).bitwiseAND(mask).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"), "n")
-    counts = written(each.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-counts")
-    kept = counts.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(states).select("k", "ctx")
-    kept = written(kept, "ppm-contexts")
-    entries = counts.join(F.broadcast(kept), ["k", "ctx"])  # a state takes some 20 bytes
-    return Model(kept.toPandas(), entries.toPandas())
-
-
 def _shorter(k: int, ctx: str = "ctx"):
     """The last k bytes of a context."""
     return F.col(ctx).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx")
 
 
-def _marginals(grams: DataFrame, states: int | None) -> list[DataFrame]:
-    """ctx, sym, n of each order from 0; with ``states`` only of so many contexts, those seen most (ties to shorter, then smaller ones)."""
+def _counts(grams: DataFrame) -> list[DataFrame]:
+    """ctx, sym, n of each order from 0: below the longest a symbol counts once for each longer context that has it."""
     counts = [grams.where("n > 0").select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"), "n")]
     for k in range(ORDER - 1, -1, -1):
-        counts.insert(0, written(counts[0].groupBy(_shorter(k), "sym").agg(F.sum("n").alias("n")), f"ppm-counts-{k}"))
-    if states is None:
-        return counts
-    every = reduce(DataFrame.unionByName, (c.select(F.lit(k).alias("k"), "ctx", "n") for k, c in enumerate(counts)))
-    kept = every.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(states)
-    kept = written(kept.select("k", "ctx"), "ppm-contexts")
-    return [written(c.join(kept.where(F.col("k") == k), "ctx", "left_semi"), f"ppm-kept-{k}") for k, c in enumerate(counts)]
+        counts.insert(0, written(counts[0].groupBy(_shorter(k), "sym").agg(F.count("*").alias("n")), f"ppm-counts-{k}"))
+    return counts
 
 
-def logs(grams: DataFrame, states: int | None = None) -> DataFrame:
-    """gram, log: log10 probability of the last byte of each of ``grams`` (gram, n times in training, distinct) after the others.
+def logs(grams: DataFrame) -> DataFrame:
+    """gram, log: log10 probability of the last byte of each of ``grams`` (gram, n times in training, distinct) after the others; written.
 
     Strings counted in training need their context's totals only. The others go down order by order to the context that has
     their symbol, distinct ones only, and the escapes are added up on the way back. A context has at most 255 rows, so no key is hot.
     """
-    counts = _marginals(grams, states)
+    counts = _counts(grams)
     whole = grams.select("gram", F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"))
     asked = {ORDER: written(whole.join(counts[ORDER], ["ctx", "sym"], "left_anti").select("ctx", "sym", F.lit(None).cast("long").alias("n")), "ppm-asked")}
     for k in range(ORDER - 1, -1, -1):
         lower = asked[k + 1].where("n is null").select(_shorter(k), "sym").distinct()
         asked[k] = written(lower.join(counts[k], ["ctx", "sym"], "left"), "ppm-asked")
-    log = F.log10
+    log, costs = F.log10, []
     for k in range(ORDER + 1):
         mine = counts[k].join(asked[k].select("ctx").distinct(), "ctx", "left_semi")
         if k:  # what the context's symbols have in its suffix
@@ -230,18 +137,20 @@ def logs(grams: DataFrame, states: int | None = None) -> DataFrame:
             # ``after``: the cost once the code has escaped from this context; ``cost``: that of coding from it
             below = found.select(F.col("ctx").alias("suffix"), "sym", *(F.col(c).alias(f"b_{c}") for c in ("n", "total", "kinds", "after", "cost")))
             t, d = F.col("b_total") - F.col("excluded"), F.col("b_kinds") - F.col("kinds")
-            after = F.when(F.col("b_n").isNotNull(), log("b_n") - log(t + d)).when(d > 0, log(d) - log(t + d) + F.col("b_after")).otherwise(F.col("b_after"))
+            after = F.when(F.col("b_n").isNotNull(), log(F.col("b_n") - LESS) - log(t)).when(d > 0, log(LESS * d) - log(t) + F.col("b_after")).otherwise(F.col("b_after"))
             now = now.withColumn("suffix", _shorter(k - 1)).join(below, ["suffix", "sym"], "left").withColumn("after", after).withColumn("lower", F.col("b_cost"))
         else:
             now = now.withColumn("after", -log(F.greatest(F.lit(SYMBOLS) - F.col("kinds"), F.lit(1)))).withColumn("lower", -log(F.lit(float(SYMBOLS))))
-        size = log(F.col("total") + F.col("kinds"))
-        cost = F.when(F.col("n").isNotNull(), log("n") - size).when(F.col("total").isNull(), F.col("lower")).otherwise(log("kinds") - size + F.col("after"))
+        cost = F.when(F.col("n").isNotNull(), log(F.col("n") - LESS) - log("total")).when(F.col("total").isNull(), F.col("lower")).otherwise(log(LESS * F.col("kinds")) - log("total") + F.col("after"))
         found = written(now.select("ctx", "sym", "n", "total", "kinds", "after", cost.alias("cost")), "ppm-costs")
+        costs.append(found)
     top = counts[ORDER]
-    size = top.groupBy("ctx").agg(log(F.sum("n") + F.count("*")).alias("size"))
-    direct = top.join(size, "ctx").select("ctx", "sym", (log("n") - F.col("size")).alias("log"))
+    size = top.groupBy("ctx").agg(log(F.sum("n")).alias("size"))
+    direct = top.join(size, "ctx").select("ctx", "sym", (log(F.col("n") - LESS) - F.col("size")).alias("log"))
     both = direct.unionByName(found.select("ctx", "sym", F.col("cost").alias("log")))
-    return both.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("gram"), "log")
+    out = written(both.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("gram"), "log"), "ppm-logs")
+    drop(*counts[:ORDER], *asked.values(), *costs)
+    return out
 
 
 def frequent(grams: DataFrame, most: int):
@@ -275,12 +184,13 @@ def log_base(c, n: int, v: int):
     return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
 
-def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None = None, head: int = HEAD, most: int = GRAMS) -> DataFrame:
+def scores(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, most: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
     Learns from rows whose id's crc32 leaves another remainder than ``held``. A null or empty text has one token, its
-    end; a null id counts as the empty id; repeated rows count each time; without training rows all counts are 0. All contexts
-    are kept unless ``states`` says how many. ``head`` words and ``most`` byte strings are looked up in place, which changes no score.
+    end; a null id counts as the empty id; repeated rows count each time; a text of any length is one sum of its strings' logarithms;
+    other columns are ignored, whatever their names; without training rows all counts are 0. ``head`` words and ``most`` byte
+    strings are looked up in place, which changes no score.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
@@ -290,7 +200,9 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None
     ends = rows.where("not held_out").select("doc_id").count()
     learnt = F.when(F.col("learnt"), F.col("n")).otherwise(0)
     seen = written(raw.where("gram is not null").groupBy("gram").agg(F.sum(learnt).alias("n"), F.sum("n").alias("times")), "ppm-grams")
-    priced = written(seen.select("gram", "times").join(logs(seen, states), "gram"), "ppm-logs")
+    found = logs(seen)
+    priced = written(seen.select("gram", "times").join(found, "gram"), "ppm-priced")
+    drop(seen, found)
     near = frequent(priced, most)
     top = priced.where(near).select("gram", "log").toArrow()  # no row objects on the driver
     codes, values = top["gram"].to_numpy(), top["log"].to_numpy()
@@ -301,7 +213,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None
     drop(raw)
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(sums.n) + ends, int(sums.v) + (ends > 0)
-    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    top = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).toArrow()
     known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
     sent = spark.sparkContext.broadcast((codes, values, known))
     del top, known, codes, values
@@ -311,10 +223,11 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None
         logs = {w: float(np.log10((c + 1) / (n + v + 1))) for w, c in known.items()}
         end = float(np.log10((ends + 1) / (n + v + 1)))
         for batch in text_batches(batches):
-            texts = text_bytes(batch.column("text"))
+            lists = [tokens(t) for t in text_bytes(batch.column("text"))]
+            texts = [b" ".join(x) for x in lists]
             out = {k: [] for k in ("n_tokens", "known", "part", "words", "counts", "key")}
-            for t in texts:
-                counts = Counter(t.lower().split())
+            for t, x in zip(texts, lists, strict=True):
+                counts = Counter(x)
                 near = [(w, c) for w, c in counts.items() if w not in logs]
                 rest = {w for w, _ in near}
                 out["n_tokens"].append(counts.total() + 1)
@@ -339,6 +252,8 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, states: int | None
     rare = rare.select("key", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("key", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
     rare = rare.join(priced.where(~near).select("gram", "log"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("log")).alias("coded_more"))
     rest = rest.unionByName(rare, allowMissingColumns=True).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("more", "found", "coded_more")))
+    rest = written(rest, "lm-rest")  # so that the join to the rows is split where a text has very many copies
+    drop(words, priced)
     zero = F.lit(0)
     return scored.join(rest, "key", "left").select(
         "doc_id",
