@@ -58,22 +58,23 @@ def grams(buffer: np.ndarray) -> np.ndarray:
     return codes[buffer[ORDER:] != PAD]
 
 
-def _added(keys, counts, more, n):
-    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, n])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One list of distinct strings and counts of several."""
+    keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return [(keys[first], np.add.reduceat(counts[order], first))]
 
 
 def gathered(docs: DataFrame) -> DataFrame:
     """gram, word, n: pre-aggregated counts of byte strings (word null) and of words (gram null) in ``docs`` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts, words = *none, Counter()
+        held, words = [], Counter()
 
-        def out(keys, counts, words):
+        def out(held, words):
+            keys, counts = _merged(held)[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             n = len(keys)
             return pa.RecordBatch.from_arrays(
                 [
@@ -87,13 +88,15 @@ def gathered(docs: DataFrame) -> DataFrame:
         for batch in text_batches(batches):
             lists = [tokens(t) for t in text_bytes(batch.column("text"))]
             buffer, _ = laid_out([b" ".join(x) for x in lists])
-            keys, counts = _added(keys, counts, *np.unique(grams(buffer), return_counts=True))
+            held.append(np.unique(grams(buffer), return_counts=True))
             for x in lists:
                 words.update(x)
-            if len(keys) > GATHERED or len(words) > WORDS_GATHERED:
-                yield out(keys, counts, words)
-                keys, counts, words = *none, Counter()
-        yield out(keys, counts, words)
+            if sum(len(x) for x, _ in held) > 2 * GATHERED:
+                held = _merged(held)
+            if len(held[0][0]) > GATHERED or len(words) > WORDS_GATHERED:
+                yield out(held, words)
+                held, words = [], Counter()
+        yield out(held, words)
 
     return docs.select("text").mapInArrow(run, "gram long, word binary, n long")
 
@@ -169,7 +172,12 @@ def looked_up(texts: list[bytes], codes: np.ndarray, values: np.ndarray):
     """Of each text the sum of its byte strings' values, and offsets, codes and times of those that are not in ``codes``."""
     buffer, _ = laid_out(texts)
     sizes = np.array([len(t) + 1 for t in texts])
-    own, inverse = np.unique(grams(buffer).view(np.int64), return_inverse=True)
+    every = grams(buffer).view(np.int64)
+    order = np.argsort(every)
+    ranked = every[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    own, inverse = ranked[new], np.empty(len(every), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
     known = codes[at] == own if len(codes) else np.zeros(len(own), bool)
     value = np.where(known, values[at] if len(codes) else 0.0, 0.0)
@@ -213,7 +221,8 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, m
     drop(raw)
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(sums.n) + ends, int(sums.v) + (ends > 0)
-    top = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).toArrow()
+    short = words.where(F.octet_length("word") <= HEAD_BYTES).select("word", "c", F.col("c").alias("times"))
+    top = short.where(frequent(short, head)).toArrow()
     known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
     sent = spark.sparkContext.broadcast((codes, values, known))
     del top, known, codes, values
