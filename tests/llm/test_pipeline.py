@@ -11,7 +11,7 @@ import tiktoken
 import corpus_pipeline as C
 from quillstone.llm import toxicity
 
-from .test_simhash import plain_components, plain_fingerprint
+from .test_near_texts import edited, plain_groups
 from .test_suffix_dedup import brute
 
 
@@ -28,7 +28,9 @@ def stages(spark, tmp_path_factory):
         if i % 7 == 0:
             text = text[: len(text) // 2] + " " + passage + " " + text[len(text) // 2 :]
         rows.append((i, text, "en", rng.choice("aab"), len(text)))
-    rows += [(200 + i, rows[i][1], "en", "b", rows[i][4]) for i in range(10)] + [(300, None, None, None, None), (301, "", "de", "a", 0)]
+    rows += [(200 + i, rows[i][1], "en", "b", rows[i][4]) for i in range(10)]
+    rows += [(220 + i, edited(rng, rows[i][1], k), "en", "a", rows[i][4]) for i, k in zip(range(10, 40), 6 * [1, 2, 3, 4, 6])]
+    rows += [(300, None, None, None, None), (301, "", "de", "a", 0)]
     where = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
     labels = [(i, 1, int("grumblewort" in t)) for i, t, *_ in rows if t and i < 150]
@@ -60,9 +62,9 @@ def test_toxic_documents_go(stages):
 def test_one_of_each_group_stays(stages):
     before, after = map(rows_of, stages[1][1])
     ids = sorted(before)
-    comp = plain_components(ids, [plain_fingerprint(before[i].text) for i in ids])
-    assert set(after) == set(comp.values()) and all(after[i] == before[i] for i in after)
-    assert not {i for i in after if 200 <= i < 300 and i - 200 in before}
+    group = plain_groups([before[i].text for i in ids])
+    assert set(after) == {ids[k] for k in group} and all(after[i] == before[i] for i in after)
+    assert not {i for i in after if 200 <= i < 210 and i - 200 in before}
 
 
 def test_passages_go(stages):
@@ -96,3 +98,10 @@ def test_run_gives_the_last_stage(spark, stages):
     got = Counter((r.doc_id, tuple(r.ids)) for r in C.run(spark, stages[0]).collect())
     assert got == Counter((r.doc_id, tuple(r.ids)) for r in stages[1][4][1].collect())
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_stages_of_an_empty_table(spark, stages, tmp_path):
+    docs = spark.read.parquet(f"{stages[0]}/documents.parquet").where("false")
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, stages[0])
+        assert docs.count() == 0
