@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; where none is set an own one, if all tasks run on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return path or tempfile.mkdtemp(prefix="quillstone-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; an own one is set where there is none."""
+    """Cut the lineage in the cluster's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -31,13 +39,13 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
     """``df`` with ``rank``: by falling value, ties by key; a row ranks one more than the dense rank of the row before.
 
-    Dense ranks are counted over distinct values; within a value only the first row still has the rank of the values before.
+    Dense ranks are counted over distinct values; within a value only the first row still has the rank of the values before. Rows
+    with value zero or null have no rank. The join on the value is split by adaptive execution where very many rows tie.
     """
-    values = running(df.select(value).distinct(), [F.desc(value)], {"dense": F.lit(1).cast("bigint")})
-    firsts = df.groupBy(value).agg(F.min(key).alias("__first"))
-    dims = values.join(firsts, value)
+    firsts = df.where(F.col(value) != 0).groupBy(value).agg(F.min(key).alias("__first"))
+    dims = running(firsts, [F.desc(value)], {"dense": F.lit(1).cast("bigint")})
     rank = F.when(F.col("dense") == 1, F.when(F.col(key) == F.col("__first"), 1).otherwise(2)).otherwise(F.when(F.col(key) == F.col("__first"), F.col("dense")).otherwise(F.col("dense") + 1))
-    return df.join(dims, value).select(*df.columns, rank.cast("bigint").alias("rank"))
+    return df.join(dims, value, "left").select(*df.columns, rank.cast("bigint").alias("rank"))
 
 
 def top(df: DataFrame, by: list[Column], limit: int, offset: int = 0) -> DataFrame:

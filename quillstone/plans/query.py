@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def condition(column: Column, mode: str, value: str, kind: str, scale: int = 1)
 
     def literal(text: str) -> Column:
         if scale != 1:
-            return F.bround(F.lit(float(text)) * scale).cast("bigint")
+            return F.lit(int((Decimal(text) * scale).to_integral_value(ROUND_HALF_EVEN))).cast("bigint")
         return F.lit(text).cast(kind)
 
     if mode not in MODES:
@@ -81,5 +82,6 @@ class TableQuery:
             found = found.where(self.after_cursor())
         if self.key:
             found = found.orderBy(*(F.desc(k) if self.descending else F.asc(k) for k in self.key))
+        if self.key or self.limit is not None or self.offset:
             found = found.offset(0 if self.cursor else self.offset).limit(min(self.limit or DEFAULT_LIMIT, MAX_LIMIT))
         return project(found, list(self.columns), self.aliases)

@@ -426,11 +426,15 @@ def reliability_bits(spark, d):
 
 
 @query("""
-select l.l_suppkey as baker, l.l_orderkey as height, (select min(n.l_orderkey) from lineitem n where n.l_suppkey = l.l_suppkey and n.l_orderkey > l.l_orderkey) as next_height
-from (select distinct l_suppkey, l_orderkey from lineitem where l_suppkey <= 20) l""")
+with r as (select l_suppkey as baker, l_orderkey as height, bool_or(l_returnflag = 'R') as used from lineitem group by 1, 2)
+select baker, height, lead(height) over w as next_height, max(case when used then height end) over (w rows between unbounded preceding and 1 preceding) as last_used
+from r window w as (partition by baker order by height)""")
 def next_right(spark, d):
-    rows = t(spark, d, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("baker"), F.col("l_orderkey").alias("height")).distinct()
-    return rows.withColumn("next_height", F.lead("height").over(Window.partitionBy("baker").orderBy("height")))
+    """Each right with its baker's next one, and the last used one before it. A window holds one baker's rights."""
+    rows = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("baker"), F.col("l_orderkey").alias("height")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("used"))
+    by = Window.partitionBy("baker").orderBy("height")
+    last = F.max(F.when(F.col("used"), F.col("height"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("baker", "height", F.lead("height").over(by).alias("next_height"), last.alias("last_used"))
 
 
 @query("select o_custkey, count(distinct l_suppkey) as n_holders, sum(cast(round(l_quantity) as bigint))::bigint as supply from lineitem join orders on o_orderkey = l_orderkey group by o_custkey")
@@ -602,11 +606,14 @@ def _chain(rows, branch):
 
 
 @query("""
-select 'main' as chain, o_orderkey as height, o_orderkey::varchar || case when o_orderkey >= 500 and o_orderkey <= 700 then 'b' else 'a' end as hash, (o_orderkey - 1)::varchar as parent from orders where o_orderkey <= 700""")
+with m as (select (min(o_orderkey) + max(o_orderkey)) // 2 as fork from orders)
+select 'main' as chain, o_orderkey as height, o_orderkey::varchar || case when o_orderkey >= fork then 'b' else 'a' end as hash, (o_orderkey - 1)::varchar as parent from orders, m""")
 def reorg_replay(spark, d):
+    """A branch from the middle height on replaces the old one up to the top."""
     rows = t(spark, d, "orders")
-    branch = F.when(F.col("o_orderkey") >= 500, "b").otherwise("a")
-    return blocks.replayed(_chain(rows, F.lit("a")), _chain(rows.where("o_orderkey <= 700"), branch))
+    fork = rows.agg(F.expr("(min(o_orderkey) + max(o_orderkey)) div 2").alias("fork"))  # one row
+    branch = F.when(F.col("o_orderkey") >= F.col("fork"), "b").otherwise("a")
+    return blocks.replayed(_chain(rows, F.lit("a")), _chain(rows.crossJoin(F.broadcast(fork)), branch))
 
 
 @query()

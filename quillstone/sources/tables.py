@@ -51,12 +51,14 @@ def brief_json(df: DataFrame) -> DataFrame:
         if kind == "boolean":
             text = c.cast("int").cast("string")
         elif kind == "string":
-            text = F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+            text = F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)  # escapes control characters too
+        elif kind == "binary":
+            text = F.concat(F.lit('"'), F.lower(F.hex(c)), F.lit('"'))
         elif kind.startswith(("timestamp", "date")):
             text = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"'))
         else:
             text = c.cast("string")
-        parts.append(F.coalesce(text, F.lit("null")))
+        parts.append(F.when(c.isNull(), "null").otherwise(text))
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("line"))
 
 

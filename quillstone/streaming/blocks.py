@@ -7,7 +7,6 @@ fork's height on are dropped and the new branch takes their place.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranks import checkpointed, shared_folder
+
 BLOCK = "chain string, height long, hash string, parent string"
 
 
@@ -45,13 +46,17 @@ def accept(held: list[tuple], block: tuple, depth: int) -> tuple[list[tuple], li
     return held[cut:], held[:cut]
 
 
-def delayed(blocks: DataFrame, depth: int) -> DataFrame:
-    """The final blocks of a stream of ``blocks``: those with ``depth`` blocks on them. State is ``depth`` blocks a chain."""
+def delayed(blocks: DataFrame, depth: int, order: str = "height") -> DataFrame:
+    """The final blocks of a stream of ``blocks``: those with ``depth`` blocks on them. State is ``depth`` blocks a chain.
+
+    ``order`` tells how the blocks of one micro-batch arrived; a batch that may hold both sides of a fork needs a sequence column,
+    as heights alone don't tell. A task holds a chain's blocks of one batch, which the source's files a batch bound.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get, strict=True)) if state.exists else []
         final = []
-        rows = pd.concat(list(frames)).sort_values(["height"], kind="stable")
+        rows = pd.concat(list(frames)).sort_values([order], kind="stable")
         for block in rows[["height", "hash", "parent"]].itertuples(index=False, name=None):
             held, done = accept(held, block, depth)
             final += done
@@ -65,8 +70,7 @@ def delayed(blocks: DataFrame, depth: int) -> DataFrame:
 def landed(blocks: DataFrame) -> DataFrame:
     """All that a stream of ``blocks`` has now, as a table: written as Parquet into the shared folder, not gathered."""
     spark = blocks.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
-    path = f"{base.rstrip('/')}/quillstone/blocks-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/quillstone/blocks-{uuid.uuid4().hex}"
     run = blocks.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(blocks.schema).parquet(f"{path}/rows")
@@ -91,7 +95,7 @@ def settled(blocks: DataFrame, depth: int) -> DataFrame:
             return rows.join(ends, "chain").where(low).select("chain", "height", "hash", "parent")
         children = rows.select("chain", (F.col("height") - 1).alias("height"), F.col("parent").alias("hash"))
         lost = rows.join(forks, ["chain", "height"], "left_semi").join(children, ["chain", "height", "hash"], "left_anti").select("chain", "height", "hash")
-        lost = lost.localCheckpoint()  # the ends of lost branches only
+        lost = checkpointed(lost)  # the ends of lost branches only
         if lost.isEmpty():
             raise ValueError("a fork is below the delay")
         rows = rows.join(lost, ["chain", "height", "hash"], "left_anti").select("chain", "height", "hash", "parent")

@@ -51,6 +51,36 @@ def test_rank_ties(spark):
     assert [r["rank"] for r in ranks.ranked(rows, "v", "id").orderBy("id").collect()] == [1, 2, 2, 3, 4]
 
 
+def test_rank_without_value(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 5), (3, None), (4, 5)], "id long, v long")
+    assert [r["rank"] for r in ranks.ranked(rows, "v", "id").orderBy("id").collect()] == [None, 1, None, 2]
+
+
+def test_brief_json_escapes(spark):
+    import json
+
+    rows = spark.createDataFrame([('q"\\\n\t\x01é', bytearray(b"\x0f\xa0"), True), (None, None, None)], "s string, b binary, t boolean")
+    assert [json.loads(r.line) for r in tables.brief_json(rows).collect()] == [['q"\\\n\t\x01é', "0fa0", 1], [None, None, None]]
+
+
+def test_limit_without_key_and_large_amounts(spark):
+    rows = spark.range(6000).selectExpr("id", "id + 9007199254740993 as micro")
+    assert TableQuery(("id",), limit=3).run(rows).count() == 3
+    assert TableQuery(("id",), filters=(("micro", "9007199254.740993"),), scales={"micro": 10**6}).run(rows).collect()[0].id == 0
+
+
+def test_two_branches_in_one_file(spark, tmp_path):
+    """Arrival order within a micro-batch: 5a, 6a, then 5b to 8b, which replace them."""
+    rows = [("m", h, f"{h}{b}", f"{h - 1}{a}", i) for i, (h, b, a) in enumerate([(3, "a", "a"), (4, "a", "a"), (5, "a", "a"), (6, "a", "a"), (5, "b", "a"), (6, "b", "b"), (7, "b", "b"), (8, "b", "b")])]
+    schema = blocks.BLOCK + ", seq long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = blocks.delayed(blocks.read_blocks(spark, str(tmp_path / "in"), schema), 2, "seq")
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.schema(blocks.BLOCK).parquet(str(tmp_path / "out")).orderBy("height").collect()
+    assert [r.hash for r in got] == ["3a", "4a", "5b", "6b"]
+
+
 def test_running_totals(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(10)) for i in range(500)]
