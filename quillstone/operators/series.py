@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,38 @@ class Collapse:
         return (start + F.make_ym_interval(months=(F.floor(gone / width) * width).cast("int"))).cast("timestamp_ntz")
 
 
+def _moved(at: datetime, width: Collapse, n: int) -> datetime:
+    """The start of ``at``'s unit, ``n`` buckets on."""
+    day = at.replace(hour=0, minute=0, second=0, microsecond=0)
+    if width.unit in MONTHS:
+        size = MONTHS[width.unit]
+        months = (at.year * 12 + at.month - 1) // size * size + n * width.n * size
+        return datetime(months // 12, months % 12 + 1, 1)
+    start = {"m": at.replace(second=0, microsecond=0), "h": at.replace(minute=0, second=0, microsecond=0), "d": day, "w": day - timedelta(days=(day.weekday() + 1) % 7)}[width.unit]
+    return start + timedelta(seconds=n * width.n * SECONDS[width.unit])
+
+
+def window_of(collapse: str, start: str | None, end: str | None, now: str, limit: int = 500, longest: timedelta | None = None) -> tuple[str, str]:
+    """The window of a series, at bucket boundaries: an end that is given counts whole, one that is missing is ``limit`` buckets away.
+
+    Ends in the wrong order are swapped; nothing lies beyond the bucket of ``now``; a window of more than ``longest`` is an error.
+    """
+    width, present = Collapse.parse(collapse), datetime.fromisoformat(now)
+    low, high = (datetime.fromisoformat(x) if x else None for x in (start, end))
+    if low and high:
+        low, high = min(low, high), max(low, high)
+        low, high = _moved(low, width, 0), _moved(high, width, 1)
+    elif low:
+        low, high = _moved(low, width, 0), _moved(low, width, limit)
+    else:
+        last = high or present
+        low, high = _moved(last, width, 1 - limit), _moved(last, width, 1)
+    high = min(high, _moved(present, width, 1))
+    if longest and high - low > longest:
+        raise ValueError(f"a series of more than {longest}")
+    return low.isoformat(), high.isoformat()
+
+
 def spine(df: DataFrame, start: Column, end: Column, step: str) -> DataFrame:
     """bucket: all starts in [start, end)."""
     one = df.sparkSession.range(1)

@@ -77,6 +77,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*shown).write.option("header", True).csv(path)
 
 
+def trailer(page: DataFrame, key: list[str]) -> DataFrame:
+    """n_rows and cursor (the largest key, parts separated by commas) of a page of results; one row."""
+    return page.agg(F.count("*").alias("n_rows"), F.max(F.struct(*key)).alias("last")).select("n_rows", F.concat_ws(",", *(F.col(f"last.{k}") for k in key)).alias("cursor"))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

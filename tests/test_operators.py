@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from datetime import timedelta
 from fractions import Fraction
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone import queries
 from quillstone.operators import joins, ledger, ranks, rights
+from quillstone.operators import series as series_operators
 from quillstone.operators.series import Collapse, series
 from quillstone.plans.query import TableQuery, condition
 from quillstone.sources import changes, tables
@@ -249,3 +251,26 @@ def test_stream_delay_is_not_gathered(spark):
     found = queries.QUERIES["stream_delay"](spark, "/root/testdata/sf0.001")
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert found.inputFiles() and found.count() == orders - 5
+
+
+@pytest.mark.parametrize(
+    ("collapse", "start", "end", "limit", "want"),
+    [
+        ("d", "2024-01-04T13:00", "2024-01-01T09:30", 500, ("2024-01-01", "2024-01-05")),
+        ("d", None, "2024-01-16T05:00", 7, ("2024-01-10", "2024-01-17")),
+        ("M", "2024-01-16T05:00", None, 3, ("2024-01-01", "2024-04-01")),
+        ("M", "2024-04-16", None, 9, ("2024-04-01", "2024-06-01")),
+        ("w", None, None, 2, ("2024-04-28", "2024-05-12")),
+        ("q", None, None, 1, ("2024-04-01", "2024-07-01")),
+        ("2h", "2024-05-04T23:10", "2024-05-04T23:50", 1, ("2024-05-04T23:00:00", "2024-05-05T01:00:00")),
+        ("y", "2020-02-29", "2021-03-01", 1, ("2020-01-01", "2022-01-01")),
+    ],
+)
+def test_series_windows(collapse, start, end, limit, want):
+    low, high = series_operators.window_of(collapse, start, end, "2024-05-08T12:00", limit)
+    assert (low, high) == tuple(x if "T" in x else f"{x}T00:00:00" for x in want)
+
+
+def test_too_long_a_series():
+    with pytest.raises(ValueError, match="more than"):
+        series_operators.window_of("d", "2024-01-01", "2024-03-01", "2024-05-08", longest=timedelta(days=30))

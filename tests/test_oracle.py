@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from quillstone import lists  # noqa: F401  registers its queries
 from quillstone import queries as own
 
 DATA = "/root/testdata/sf0.001"
