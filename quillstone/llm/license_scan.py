@@ -1,14 +1,18 @@
 """License scans: notices by sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every file that has a cue word is a candidate; its terms are weighed by their rarity among the templates (a
-term of no template as the rarest), and the template with the largest cosine of at least ``LEAST`` is the line's. A file's
-licence is that of its best line. A licence file stands for its directory; files without a notice of their own inherit
-from the nearest directory above them that has one, found by joining each file's ancestors with the directories.
+Every line of every file is a candidate; its terms are weighed by their rarity among the templates (a term of no template as the
+rarest), and the template with the largest cosine of at least ``LEAST`` that shares ``COMMON`` terms with it is the line's. Lines that
+have none of the telling terms cannot reach ``LEAST`` (Cauchy-Schwarz: the shared terms' part of a template's length bounds the
+cosine), so they are left out before their terms are looked at. A file's licence is that of its best line. A licence file stands
+for its directory; files without a notice of their own inherit from the nearest directory above them that has one, found by
+joining each file's ancestors with the directories.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +32,12 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under Creative Commons CC BY-SA 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
 }
-CUE = "licen[cs]e|copyright|spdx|creative commons|redistribution|public license"
+# Words so frequent in any text that they tell little; they count in the cosine like others.
+FREQUENT = ("the", "of", "to", "this", "is", "under", "and", "by", "work", "use", "terms")
 TERM = "[^a-z0-9.-]+"
 LEAST = 0.6
-#: Words of a file at most that is taken for a licence file where names don't tell.
-NOTICE_WORDS = 40
+#: Terms that a line must share with its template: the German "mit" alone is no licence.
+COMMON = 2
 
 
 def _terms(text):
@@ -52,6 +57,20 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFram
     return terms.join(F.broadcast(size), "license").select("license", "term", (F.col("idf") / F.col("size")).alias("weight"), "idf"), math.log(n + 1) + 1
 
 
+def telling(templates: dict[str, str], least: float) -> list[str]:
+    """The templates' terms but the frequent ones, so far as the frequent ones alone cannot make a cosine of ``least``."""
+    terms = {k: {t.rstrip(".") for t in re.split(TERM, v.lower())} - {""} for k, v in templates.items()}
+    n = Counter(t for found in terms.values() for t in found)
+    idf = {t: math.log((len(templates) + 1) / (c + 1)) + 1 for t, c in n.items()}
+    quiet = set(FREQUENT)
+    for found in terms.values():
+        whole = sum(idf[t] ** 2 for t in found)
+        for t in sorted(found & quiet, key=lambda t: (-idf[t], t)):
+            if sum(idf[x] ** 2 for x in found & quiet) >= 0.99 * least**2 * whole:
+                quiet.discard(t)
+    return sorted(set(n) - quiet)
+
+
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """path, license, score: the best notice in each file that has one; ties to the smaller name.
 
@@ -59,12 +78,13 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: floa
     """
     known, rare = _templates(files.sparkSession, templates)
     vocabulary = known.groupBy("term").agg(F.max("idf").alias("idf"))
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[\r\n]+")).alias("line", "words")).where(ascii_lower(F.col("words")).rlike(CUE))
+    cue = r"(^|[^a-z0-9.-])(" + "|".join(map(re.escape, telling(templates, least))) + r")\.*([^a-z0-9.-]|$)"
+    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[\r\n]+")).alias("line", "words")).where(ascii_lower(F.col("words")).rlike(cue))
     terms = lines.select("path", "line", F.explode(_terms(F.col("words"))).alias("term")).distinct()
     weighed = terms.join(F.broadcast(vocabulary), "term", "left")  # the templates' terms, a fixed table
     size = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.pow(F.coalesce("idf", F.lit(rare)), 2))).alias("size"))
     dots = weighed.where("idf is not null").select("path", "line", "term", "idf").join(F.broadcast(known.select("term", "license", "weight")), "term")
-    dots = dots.groupBy("path", "line", "license").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
+    dots = dots.groupBy("path", "line", "license").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"), F.count("*").alias("common")).where(F.col("common") >= COMMON)
     scored = dots.join(size, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
@@ -78,7 +98,9 @@ def scanned(files: DataFrame, **kind) -> DataFrame:
     """path, license, score, origin (own, inherited or null), source_path for each row of ``files`` (path, text, is_notice).
 
     ``is_notice`` marks licence files. Of several in a directory the one with the best score counts, then the smallest path.
-    A null path has no directory, so it inherits nothing and is scanned with the other null paths; repeated rows stay.
+    A null path has no directory, so it inherits nothing and has no licence; null and empty texts have no lines; equal scores go to the
+    smaller licence name; the rows of one path are scanned as one file, and all stay; lines of any length count whole; other columns
+    are ignored, whatever their names; no rows give no rows.
     """
     found = written(notices(files.where("path is not null"), **kind), "license-notices")
     marked = files.where("is_notice and path is not null").select("path").distinct().join(found, "path")
@@ -101,13 +123,19 @@ def scanned(files: DataFrame, **kind) -> DataFrame:
     )
 
 
+def titled(files: DataFrame, **kind) -> DataFrame:
+    """path of the files whose first line of words is a notice, as in a licence's text or a file that only names its licence."""
+    title = F.regexp_extract("text", r"^[\s]*([^\r\n]+)", 1)
+    return notices(files.where("text is not null").select("path", title.alias("text")), **kind).select("path")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as files: source/lang/doc_id; those of few words with a notice stand for their directory."""
+    """``documents`` as files: source/lang/doc_id; those that begin with a notice stand for their directory."""
     docs = table(spark, sf_dir, "documents")
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    files = docs.select("doc_id", path.alias("path"), "text", (words <= NOTICE_WORDS).alias("is_notice"))
-    found = scanned(files)
+    files = docs.select("doc_id", path.alias("path"), "text")
+    heads = written(titled(files), "license-titles").withColumn("is_notice", F.lit(True))
+    found = scanned(files.join(heads, "path", "left").withColumn("is_notice", F.coalesce("is_notice", F.lit(False))))
     return found.select(F.expr("try_cast(substring_index(path, '/', -1) as bigint)").alias("doc_id"), "path", "license", "score", "origin", "source_path")
 
 
@@ -121,18 +149,17 @@ tt as (select license, unnest({terms.format(lower.format("notice"))}) as term fr
 idf as (select term, ln({len(TEMPLATES) + 1}.0::double / (count(*) + 1)) + 1 as idf from tt group by term),
 ts as (select license, sqrt(sum(idf * idf)) as size from tt join idf using (term) group by license),
 tw as (select license, term, idf / size as weight from tt join idf using (term) join ts using (license)),
-f as (select concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path, text,
-  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) <= {NOTICE_WORDS} as is_notice from documents),
+f as (select concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path, text from documents),
 l0 as (select path, string_split_regex(coalesce(text, ''), '[\\r\\n]+') as ls from f),
 l1 as (select path, unnest(ls) as words, generate_subscripts(ls, 1) as line from l0),
-l as (select * from l1 where regexp_matches({lower.format("words")}, '{CUE}')),
-lt as (select distinct path, line, term from (select path, line, unnest({terms.format(lower.format("words"))}) as term from l)),
+fl as (select path, min(line) as line from l1 where regexp_matches(words, '\\S') group by path),
+lt as (select distinct path, line, term from (select path, line, unnest({terms.format(lower.format("words"))}) as term from l1)),
 w as (select lt.*, idf from lt left join idf using (term)),
 sz as (select path, line, sqrt(sum(pow(coalesce(idf, ln({len(TEMPLATES) + 1}.0::double) + 1), 2))) as size from w group by path, line),
-d as (select path, line, license, sum(idf * weight) as dot from w join tw using (term) group by path, line, license),
-s as (select path, license, round(dot / size, 6) as score from d join sz using (path, line) where round(dot / size, 6) >= {LEAST}),
+d as (select path, line, license, sum(idf * weight) as dot from w join tw using (term) group by path, line, license having count(*) >= {COMMON}),
+s as (select path, line, license, round(dot / size, 6) as score from d join sz using (path, line) where round(dot / size, 6) >= {LEAST}),
 n as (select * from (select *, row_number() over (partition by path order by score desc, license) as r from s) where r = 1),
-m as (select distinct f.path, license, score, regexp_replace(f.path, '/[^/]*$', '') as dir from f join n using (path) where is_notice),
+m as (select distinct f.path, license, score, regexp_replace(f.path, '/[^/]*$', '') as dir from f join n using (path) where exists (select 1 from s join fl using (path, line) where s.path = f.path)),
 dirs as (select * from (select *, row_number() over (partition by dir order by score desc, path) as r from m) where r = 1),
 b as (select distinct f.path from f left join n using (path) where n.license is null),
 a as (select path, unnest(range(1, len(string_split(path, '/')))) as depth from b),

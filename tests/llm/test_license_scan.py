@@ -19,3 +19,37 @@ def test_inherits_from_the_nearest_directory(spark):
 
 def test_no_rows(spark):
     assert L.scanned(spark.createDataFrame([], "path string, text string, is_notice boolean")).count() == 0
+
+
+def test_against_sql(spark):
+    """The query's SQL on a sample, and on odd rows."""
+    import os
+
+    import duckdb
+
+    where = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{where}/documents.parquet'" if os.path.isfile(f"{where}/documents.parquet") else f"create view documents as select * from '{where}/documents.parquet/*.parquet'")
+    want = con.execute(L.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in L.op3_license_scan(spark, where).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(r[2] for r in got)
+
+
+def test_notices_without_cue_words(spark):
+    rows = [("a", "x\nCC BY-NC 4.0"), ("b", "Apache Version 2.0"), ("c", "Mit."), ("d", "Mit und."), ("e", "the license of this"), ("f", "Released under the MIT License" + " word" * 100_000), ("g", "MIT License")]
+    got = {r.path: r.license for r in L.notices(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a": "CC-BY-NC-4.0", "b": "Apache-2.0", "f": "MIT", "g": "MIT"}  # terms count once a line
+
+
+def test_no_line_without_a_telling_term_reaches_the_least(spark):
+    terms = {t for v in L.TEMPLATES.values() for t in v.lower().replace(",", "").split()}
+    rest = sorted(terms - set(L.telling(L.TEMPLATES, L.LEAST)))
+    rows = [(str(i), " ".join(w for k, w in enumerate(rest) if i >> k & 1)) for i in range(1, 1 << len(rest))][: 1 << 12]
+    assert rest and L.notices(spark.createDataFrame(rows, "path string, text string")).count() == 0
+
+
+def test_ties_and_repeats(spark):
+    rows = [("a/x", "Licensed under CC BY 4.0", False), ("a/y", "MIT License", True), ("a/y", "MIT License", True), ("a/z", None, False), ("a/w", "GNU General Public License", True)]
+    got = sorted(map(tuple, L.scanned(spark.createDataFrame([(*r, "k") for r in rows], "path string, text string, is_notice boolean, term string")).collect()), key=repr)
+    assert len(got) == 5 and [r[1] for r in got if r[0] == "a/w"] == ["GPL-2.0"]
+    assert got[-1][0] == "a/z" and got[-1][3] == "inherited"
