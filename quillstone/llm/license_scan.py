@@ -3,7 +3,7 @@
 Every line of every file is a candidate; its terms are weighed by their rarity among the templates (a term of no template as the
 rarest), and the template with the largest cosine of at least ``LEAST`` that shares ``COMMON`` terms with it is the line's. Lines that
 have none of the telling terms cannot reach ``LEAST`` (Cauchy-Schwarz: the shared terms' part of a template's length bounds the
-cosine), so they are left out before their terms are looked at. A file's licence is that of its best line. A licence file stands
+cosine), nor can lines whose length the templates' terms make too small a part of, so both are left out where they are read. A file's licence is that of its best line. A licence file stands
 for its directory; files without a notice of their own inherit from the nearest directory above them that has one, found by
 joining each file's ancestors with the directories.
 """
@@ -57,18 +57,36 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFram
     return terms.join(F.broadcast(size), "license").select("license", "term", (F.col("idf") / F.col("size")).alias("weight"), "idf"), math.log(n + 1) + 1
 
 
-def telling(templates: dict[str, str], least: float) -> list[str]:
-    """The templates' terms but the frequent ones, so far as the frequent ones alone cannot make a cosine of ``least``."""
+def rarity(templates: dict[str, str]) -> tuple[dict[str, set], dict[str, float]]:
+    """The terms of each template, and each term's idf."""
     terms = {k: {t.rstrip(".") for t in re.split(TERM, v.lower())} - {""} for k, v in templates.items()}
     n = Counter(t for found in terms.values() for t in found)
-    idf = {t: math.log((len(templates) + 1) / (c + 1)) + 1 for t, c in n.items()}
+    return terms, {t: math.log((len(templates) + 1) / (c + 1)) + 1 for t, c in n.items()}
+
+
+def telling(templates: dict[str, str], least: float) -> list[str]:
+    """The templates' terms but the frequent ones, so far as the frequent ones alone cannot make a cosine of ``least``."""
+    terms, idf = rarity(templates)
     quiet = set(FREQUENT)
     for found in terms.values():
         whole = sum(idf[t] ** 2 for t in found)
         for t in sorted(found & quiet, key=lambda t: (-idf[t], t)):
             if sum(idf[x] ** 2 for x in found & quiet) >= 0.99 * least**2 * whole:
                 quiet.discard(t)
-    return sorted(set(n) - quiet)
+    return sorted(set(idf) - quiet)
+
+
+def within_reach(terms, templates: dict[str, str], least: float):
+    """Whether a line's distinct terms can reach ``least``: the templates' terms among them make up enough of its length."""
+    idf, rare = rarity(templates)[1], math.log(len(templates) + 1) + 1
+    known = F.array(*(F.lit(t) for t in idf))
+    square = F.create_map(*(F.lit(x) for t, v in idf.items() for x in (t, v * v)))
+
+    def enough(line, hits):
+        part = F.aggregate(hits, F.lit(0.0), lambda a, t: a + F.element_at(square, t))
+        return part >= 0.99 * least**2 * (part + rare**2 * (F.size(line) - F.size(hits)))
+
+    return F.exists(F.array(terms), lambda line: F.exists(F.array(F.array_intersect(line, known)), lambda hits: enough(line, hits)))  # each worked out once
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -80,6 +98,7 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: floa
     vocabulary = known.groupBy("term").agg(F.max("idf").alias("idf"))
     cue = r"(^|[^a-z0-9.-])(" + "|".join(map(re.escape, telling(templates, least))) + r")\.*([^a-z0-9.-]|$)"
     lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[\r\n]+")).alias("line", "words")).where(ascii_lower(F.col("words")).rlike(cue))
+    lines = lines.where(within_reach(_terms(F.col("words")), templates, least))
     terms = lines.select("path", "line", F.explode(_terms(F.col("words"))).alias("term")).distinct()
     weighed = terms.join(F.broadcast(vocabulary), "term", "left")  # the templates' terms, a fixed table
     size = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.pow(F.coalesce("idf", F.lit(rare)), 2))).alias("size"))
