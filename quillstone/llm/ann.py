@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, table, written
+from .common import drop, parts_for, table, written
 
 K = 48
 LEAF, TREES = 1024, 6
@@ -113,7 +113,9 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
     part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")
     dealt = cuts.join(sizes, ["tree", "code"]).select("tree", "code", part.alias("part"), "id", "vec")
     dealt = dealt.repartition(parts_for(nodes.sparkSession), "tree", "code", "part").sortWithinPartitions("tree", "code", "part")
-    return best_of(dealt.mapInArrow(near, "id long, nbr long, sim float").withColumn("born", F.lit(0)))
+    graph = best_of(dealt.mapInArrow(near, "id long, nbr long, sim float").withColumn("born", F.lit(0)))
+    drop(cuts)
+    return graph
 
 
 def best_of(edges: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def joined(graph: DataFrame, nodes: DataFrame, step: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = first_graph(nodes, nodes.count())
     for step in range(1, rounds + 1):
-        graph = best_of(graph.unionByName(joined(graph, nodes, step)))
+        before, graph = graph, best_of(graph.unionByName(joined(graph, nodes, step)))
+        drop(before)
     return graph
 
 
@@ -195,7 +198,9 @@ def searched(asks: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
         opened = written(opened, "ann-opened")
         found = opened.join(ways, "id").select("q", F.col("nbr").alias("id")).distinct().join(met.select("q", "id"), ["q", "id"], "left_anti")
         marked = met.join(opened.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        met = written(marked.unionByName(scored(found).withColumn("opened", F.lit(False))), "ann-met")
+        before, met = met, written(marked.unionByName(scored(found).withColumn("opened", F.lit(False))), "ann-met")
+        drop(before, opened)
+    drop(ways, own)
     return met.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= BEAM).select("q", "id")
 
 
@@ -203,7 +208,7 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose vec_id ``every`` divides.
 
     Repeated rows count once, and no row answers a query of its own id; ties go to the smaller vec_id; fewer candidates give
-    fewer ranks; no rows give no rows. See ``usable`` for rows that take no part.
+    fewer ranks; other columns are ignored, whatever their names; no rows give no rows. See ``usable`` for rows that take no part.
     """
     rows = written(usable(rows), "ann-rows")
     nodes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.first("norm").alias("norm")), "ann-nodes")
@@ -212,6 +217,7 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     graph = neighbour_graph(unit)
     queries = members.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
     met = searched(queries.select("q").distinct(), graph, unit)
+    drop(rows, graph, unit)
     asks = nodes.select(F.col("id").alias("q"), F.col("embedding").alias("ask"), F.col("norm").alias("ask_norm"))
     dot = F.aggregate(F.zip_with("ask", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     met = met.join(nodes, "id").join(asks, "q").select("q", "id", (dot / (F.col("ask_norm") * F.col("norm"))).alias("score"))

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the cluster's checkpoint folder, or, if unset (tests), an own one."""
+    """The folder that all executors see: the cluster's checkpoint folder, or, if unset and all tasks run on this machine (tests), an own one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -60,3 +60,18 @@ def test_odd_rows(spark):
 def test_few_rows(spark, n):
     rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
     assert len(A.nearest(rows).collect()) == max(0, n - 1)
+
+
+def test_clashing_names_and_what_is_left(spark):
+    """Columns named like the result's are ignored; the graph's tables are gone once the result is there."""
+    import glob
+
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.standard_normal(6).astype(np.float32).tolist() for i in range(120)}
+    rows = spark.createDataFrame([(i, v, "r", 0.5, 1, 2) for i, v in vectors.items()], "vec_id long, embedding array<float>, rank string, score double, query_id int, id int")
+    where = spark.conf.get("spark.checkpoint.dir") + "/quillstone/ann-*"
+    before = set(glob.glob(where))
+    got = A.nearest(rows).collect()
+    assert hits(got, brute(vectors)) == 1
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(where)) - before}
+    assert left == {"ann-nodes", "ann-members", "ann-met"}
