@@ -6,13 +6,15 @@ path of the highest probability under a character trigram model with a price for
 piece of two letters or more has one path, so what lies between two of them is decided on its own, and remembered. Tokens whose
 lattice has one path are themselves; a piece of several characters without any letter ends the run. Restored words and their prefixes are the features; a token's evidence is that of its best feature, a text's
 that of its strongest distinct token and of the next two, and a logistic curve turns them into a score. Features, characters and curve are learnt from
-``SAMPLE`` labelled rows at most (by a hash of their ids), the vocabulary is bounded by ``FEATURES``.
+all labelled rows; what a worker holds of them is bounded by ``FEATURES`` and ``TRIGRAMS``. Toxic rows are counted first, then an eighth
+of the clean ones: a feature of few toxic rows, or of many clean ones so far, can't become likely, so the rest is not counted for it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_batches, written
+from .common import drop, remainder, table, text_batches, written
 
-SAMPLE = 20_000
 FEATURES = 20_000
 TRIGRAMS = 100_000
+#: Marks of features, by their crc32: other features may share a mark, and fall out when counts are joined.
+MARKS = 1 << 24
 THRESHOLD = 0.3
 #: Prefixes of a word that are features, by their letters.
 PREFIXES = (3, 4, 5, 6, 7)
@@ -305,51 +308,113 @@ def all_features(words: set[str]) -> set[str]:
     return {"=" + w for w in words}.union(*({w[:k] for w in words if len(w) >= k} for k in PREFIXES))
 
 
-def _trigrams(sample: DataFrame) -> dict[str, int]:
+def _trigrams(rows: DataFrame) -> dict[str, int]:
+    """The most frequent trigrams of the words of all rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        words: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for t, n in Counter((text or "").lower().split()).items():
-                    word = t.strip(EDGES)
-                    if word.isalpha():
-                        word = f"  {word} "
-                        for k in range(len(word) - 2):
-                            counts[word[k : k + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["t", "n"])
-
-    sums = sample.select("text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+            for text in _texts(batch):
+                words.update(text.lower().split())
+                if len(words) > KEPT:
+                    yield out(words)
+                    words = Counter()
+        yield out(words)
+
+    def out(words: Counter) -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for t, n in words.items():
+            word = t.strip(EDGES)
+            if word.isalpha():
+                word = f"  {word} "
+                for k in range(len(word) - 2):
+                    counts[word[k : k + 3]] += n
+        return pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["t", "n"])
+
+    sums = rows.select("text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     return {r.t: r.n for r in sums.orderBy(F.desc("n"), "t").limit(TRIGRAMS).collect()}
 
 
-def _weights(sample: DataFrame, characters: Characters) -> dict[str, float]:
+def _counted(rows: DataFrame, characters: Characters, marks: bytes = b"") -> DataFrame:
+    """f, n: the number of ``rows`` (text) that have each feature, of all features or of those with ``marks``."""
+    sent = rows.sparkSession.sparkContext.broadcast((characters, marks))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts = Restorer(characters), (Counter(), Counter())
+        own, there = sent.value
+        restorer, counts = Restorer(own), Counter()
         for batch in text_batches(batches):
-            for tokens, label in zip(restorer.tokens(_texts(batch)), batch.column("toxic").to_pylist(), strict=True):
-                found = all_features({restorer.word(t) for t in tokens})
-                counts[label].update(found)
-                if len(counts[0]) > KEPT:
+            lists = restorer.tokens(_texts(batch))
+            if there:
+                every = [*set().union(*lists)]
+                words = (restorer.word(t) if odd else t.strip(EDGES) for t, odd in zip(every, odd_ones(every), strict=True))
+                known = {t: found for t, w in zip(every, words, strict=True) if (found := marked(there, w))}
+                some = set(known)
+            for tokens in lists:
+                counts.update(set().union(*(known[t] for t in tokens & some)) if there else all_features({restorer.word(t) for t in tokens}))
+                if len(counts) > KEPT:
                     yield out(counts)
-                    counts = (Counter(), Counter())
+                    counts = Counter()
         yield out(counts)
 
-    def out(counts):
-        every = [*(counts[0] | counts[1])]
-        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([counts[k][f] for f in every], pa.int64()) for k in (0, 1))], ["f", "clean", "toxic"])
+    def out(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["f", "n"])
+
+    return rows.select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def marks_of(found: DataFrame) -> bytes:
+    """A bit for each of the features ``f`` and for how their words begin: two megabytes, however many there are."""
+    begins = [F.substring(g, 1, k) for g in (F.col("f"), F.expr("if(startswith(f, '='), substring(f, 2), f)")) for k in PREFIXES]
+    every = found.select(F.explode(F.array("f", *begins)).alias("f"))
+    words = every.select((F.crc32(F.col("f").cast("binary")) % MARKS).alias("p")).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("bits"))
+    marks = np.zeros(MARKS // 32, "<u4")
+    for r in words.toLocalIterator():
+        marks[r.word] = r.bits
+    return marks.tobytes()
+
+
+def marked(marks: bytes, word: str) -> list[str]:
+    """The features of a word that have marks; a beginning without one has no longer ones."""
 
-    rows = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    clean, toxic = rows.get(0, 0), rows.get(1, 0)
+    def on(f: str) -> int:
+        at = zlib.crc32(f.encode()) % MARKS
+        return marks[at >> 3] >> (at & 7) & 1
+
+    out: list[str] = []
+    if not word or not on(word[:3]):
+        return out
+    for k in PREFIXES:
+        if len(word) < k:
+            break
+        if not on(word[:k]):
+            return out
+        out.append(word[:k])
+    return [*out, "=" + word] if on("=" + word) else out
+
+
+def _weights(rows: DataFrame, characters: Characters) -> dict[str, float]:
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return {}
-    sums = sample.select("text", "toxic").mapInArrow(run, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     share, n = toxic / (clean + toxic), F.col("a") + F.col("b")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     sure = 2 * (part(F.col("b"), F.lit(share)) + part(F.col("a"), F.lit(1 - share)))
     weight = F.log((F.col("b") + 0.5) / (toxic + 1)) - F.log((F.col("a") + 0.5) / (clean + 1))
-    kept = sums.where("b >= 2").select("f", "b", weight.alias("w"), sure.alias("sure")).where((F.col("sure") >= LIKELY) & (F.col("w") > 1))
-    rows = kept.orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
-    return {r.f: r.w for k, r in enumerate(rows) if k < SUREST or r.sure >= SURE and r.b >= 3}
+    # A weight over 1 means a greater share of toxic rows than ``share``; there each clean row makes a feature less sure, and its weight less.
+    likely = (F.col("b") >= 2) & (sure >= LIKELY) & (weight > 1)
+    first = F.pmod(F.xxhash64("text"), F.lit(8)) == 0
+    often = _counted(rows.where("toxic = 1"), characters).select("f", F.col("n").alias("b"), F.lit(0).cast("long").alias("a"))
+    held = []
+    for part_of in (first, ~first):
+        often = written(often.where(likely), "toxicity-often")
+        held.append(often)
+        more = _counted(rows.where("toxic = 0").where(part_of), characters, marks_of(often))
+        often = often.join(more, "f", "left").select("f", "b", (F.col("a") + F.coalesce("n", F.lit(0))).alias("a"))
+    kept = often.where(likely).select("f", "b", weight.alias("w"), sure.alias("sure"))
+    found = kept.orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
+    drop(*held)
+    return {r.f: r.w for k, r in enumerate(found) if k < SUREST or r.sure >= SURE and r.b >= 3}
 
 
 class Model:
@@ -358,18 +423,29 @@ class Model:
 
     def start(self) -> None:
         self.restorer = Restorer(self.characters)
-        #: How a word with a weighed feature begins: as the feature does, that of a whole word without its mark.
-        self.starts = {g[:3] for f in self.weights for g in (f, f[1:] if f[0] == "=" else f)}
+        #: How words with weighed features begin: as the feature does, that of a whole word without its mark.
+        self.starts = {g[:k] for f in self.weights for g in (f, f[1:] if f[0] == "=" else f) for k in PREFIXES}
 
     def weighed(self, tokens: set[str]) -> dict[str, float]:
         """The weight of each of ``tokens`` that has a weighed feature: that of its best one."""
         every, out = [*tokens], {}
         for token, odd in zip(every, odd_ones(every), strict=True):
             word = self.restorer.word(token) if odd else token.strip(EDGES)
-            if word[:3] in self.starts:
-                out[token] = max(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
+            if word and word[:3] in self.starts:
+                out[token] = self.best(word)
         return {t: w for t, w in out.items() if w}
 
+    def best(self, word: str) -> float:
+        """The weight of a word's best feature; a beginning that no weighed word has ends the search."""
+        found = []
+        for k in PREFIXES:
+            if len(word) < k:
+                break
+            if word[:k] not in self.starts:
+                return max(*found, 0.0) if found else 0.0
+            found.append(self.weights.get(word[:k], 0.0))
+        return max([*found, self.weights.get("=" + word, 0.0)])
+
     def evidence(self, texts: list[str]) -> list[tuple[float, float]]:
         """Of each text the weight of its strongest token, and of the next two; each distinct token is looked at once."""
         lists, out = self.restorer.tokens(texts), []
@@ -409,35 +485,71 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def curve(evidence: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
-    """Coefficients of a logistic curve, the last for a constant, by Newton steps with a small penalty."""
-    x = np.column_stack([evidence, np.ones(len(evidence))])
-    beta = np.zeros(x.shape[1])
+def _evidence(docs: DataFrame, model: Model, column: str) -> DataFrame:
+    """``column`` and the evidence a, b of each row of ``docs``."""
+    kind = docs.schema[column].dataType.simpleString()
+
+    def of(own: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = own.evidence(_texts(batch))
+        return pa.RecordBatch.from_arrays([batch.column(column), *(pa.array([x[k] for x in found], pa.float64()) for k in (0, 1))], [column, "a", "b"])
+
+    return _mapped(docs.select(column, "text"), model, f"{column} {kind}, a double, b double", of)
+
+
+def curve(rows: DataFrame) -> tuple[float, ...]:
+    """Coefficients of a logistic curve through all ``rows`` (toxic, a, b), the last for a constant, by Newton steps with a small penalty.
+
+    Equal rows are counted once; a step's sums are whole numbers of 2^-40, so their order is of no account.
+    """
+    equal = written(rows.groupBy("toxic", "a", "b").agg(F.count("*").alias("n")), "toxicity-equal")
+    beta = np.zeros(3)
+    upper = np.triu_indices(3)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, a, b, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("toxic", "a", "b", "n"))
+            x = np.column_stack([a, b, np.ones(len(a))])
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            terms = [n * p * (1 - p) * x[:, i] * x[:, j] for i, j in zip(*upper, strict=True)] + [n * (label - p) * x[:, i] for i in range(3)]
+            whole = [str(sum(map(int, np.rint(np.ldexp(t, 40)).tolist()))) for t in terms]
+            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.list_(pa.string()))], ["sums"])
+
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(beta)), x.T @ (label - p) - 0.1 * beta)
-        beta += step
+        found = [[int(v) for v in r.sums] for r in equal.mapInArrow(sums, "sums array<string>").collect()]
+        if not found:
+            break
+        total = np.array([sum(v) / 2**40 for v in zip(*found, strict=True)])
+        square = np.zeros((3, 3))
+        square[upper] = total[:6]
+        square = np.triu(square) + np.triu(square, 1).T
+        step = np.linalg.solve(square + 0.1 * np.eye(3), total[6:] - 0.1 * beta)
+        beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
+    drop(equal)
     return tuple(map(float, beta))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> Model:
-    """A model of labelled rows whose id's crc32 leaves another remainder than ``held``; of two labels the higher counts."""
+def _known(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    """doc_id, toxic of all rows to learn from; of two labels the higher counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    sample = written(sample, "toxicity-sample")
-    characters = Characters(_trigrams(sample))
-    model = Model(characters, _weights(sample, characters))
-    def seen(own: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = own.evidence(_texts(batch))
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([x[k] for x in found], pa.float64()) for k in (0, 1))], ["toxic", "a", "b"])
+    return known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, modulus: int, held: int) -> tuple[Model, DataFrame]:
+    """A model without its curve, and the rows (text, toxic) that it has learnt from, written."""
+    known = _known(labels, modulus, held).hint("shuffle_hash")  # texts are dealt by id, not sorted
+    rows = docs.select("doc_id", "text").where(remainder(F.col("doc_id"), modulus) != held).join(known, "doc_id")
+    rows = written(rows.select("text", "toxic"), "toxicity-rows")
+    characters = Characters(_trigrams(rows))
+    return Model(characters, _weights(rows, characters)), rows
 
-    rows = _mapped(sample, model, "toxic int, a double, b double", seen).toPandas()
-    if len(rows):
-        model.beta = curve(rows[["a", "b"]].to_numpy(float), rows["toxic"].to_numpy(float))
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> Model:
+    """A model of all labelled rows whose id's crc32 leaves another remainder than ``held``; of two labels the higher counts."""
+    model, rows = _learnt(docs, labels, modulus, held)
+    model.beta = curve(_evidence(rows, model, "toxic"))
+    drop(rows)
     return model
 
 
@@ -446,16 +558,16 @@ def scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2)
 
     Null and empty texts have no evidence and get the curve's lowest score; a null id counts as the empty id; repeated rows
     score alike; a text or token of any length is read whole, in time that grows with its length; other columns are ignored, whatever
-    their names; without labels every score is one half; no rows give no rows.
+    their names; without labels every score is one half; no rows give no rows. The evidence of all rows is found once: that of the
+    labelled ones gives the curve.
     """
-    model = train(docs, labels, modulus, held)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def score(own: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.scores(_texts(batch)), pa.float64())], ["doc_id", "score"])
-
-    found = _mapped(docs.select("doc_id", "text"), model, f"doc_id {kind}, score double", score)
-    return found.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model, rows = _learnt(docs, labels, modulus, held)
+    drop(rows)
+    found = written(_evidence(docs, model, "doc_id"), "toxicity-evidence")
+    u, v, w = curve(found.join(_known(labels, modulus, held), "doc_id").select("toxic", "a", "b"))
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), u * F.col("a") + v * F.col("b") + w))
+    found = found.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), (1 / (1 + F.exp(-x))).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 import itertools
+import math
 import random
 import time
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import toxicity as T
 
@@ -151,3 +155,48 @@ def test_batched_weights_are_those_of_each_token():
         plain = {t: max((model.weights.get(f, 0.0) for f in T.features(model.restorer.word(t))), default=0.0) for t in tokens}
         assert model.weighed(tokens) == {t: w for t, w in plain.items() if w}
     assert model.weighed(set()) == {}
+
+
+def test_all_labelled_rows_count(spark):
+    """Labelled rows beyond the first 20 000 (by a hash of their ids) teach the characters, the features and the curve as well."""
+    ids = spark.range(30_000).where("pmod(crc32(cast(cast(id as string) as binary)), 4) != 2").orderBy(F.xxhash64("id"), "id")
+    ids = [r.id for r in ids.collect()]
+    assert len(ids) > 21_000
+    late = set(ids[-40:])
+    rows = [(i, "good quvokkest" if i in late else "good table") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in late)) for i in ids], "doc_id long, toxic int")
+    model = T.train(docs, labels)
+    assert model.characters.three["  q"] == 40 and model.characters.three["  g"] == len(ids)
+    n = len(ids) - 40
+    assert model.weights["=quvokkest"] == pytest.approx(math.log(40.5 / 41) - math.log(0.5 / (n + 1)))
+    got = {r.doc_id: r.predicted for r in T.scores(docs, labels).collect()}
+    assert {i for i, p in got.items() if p} == late
+
+
+def test_curve_against_newton_steps_on_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(int(rng.random() < (0.9 if a else 0.1)), a, b) for a, b in ((rng.choice([0.0, 1.5, 3.25]), rng.choice([0.0, 2.5])) for _ in range(500))]
+    x = np.array([(a, b, 1.0) for _, a, b in rows])
+    y, beta = np.array([t for t, _, _ in rows], float), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * beta)
+    df = spark.createDataFrame(rows, "toxic int, a double, b double")
+    assert T.curve(df) == pytest.approx(tuple(beta), abs=1e-6)
+    assert T.curve(df.repartition(7)) == T.curve(df.repartition(2))
+    assert T.curve(df.where("toxic > 1")) == (0.0, 0.0, 0.0)
+
+
+def test_counts_by_batch_and_marks(spark):
+    texts = ["zurgling zurgl1ng, good", "good table", None, "", "g o o d w1ndow good (good)", "vokkest table"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    characters = T.Characters({"  z": 5, "  g": 9, "goo": 7, "ood": 7, "od ": 7})
+    restorer, want = T.Restorer(characters), Counter()
+    for tokens in restorer.tokens([t or "" for t in texts]):
+        want.update(T.all_features({restorer.word(t) for t in tokens}))
+    every = T._counted(rows, characters)
+    assert {r.f: r.n for r in every.collect()} == want
+    some = {f: n for f, n in want.items() if n > 3}
+    marks = T.marks_of(every.where("n > 3"))
+    assert {r.f: r.n for r in T._counted(rows, characters, marks).collect()} == some  # no marks are shared here
