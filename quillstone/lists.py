@@ -189,12 +189,27 @@ select o_orderkey as id, o_custkey as token, l_suppkey as owner, sum(case when l
 from orders join lineitem on l_orderkey = o_orderkey group by 1, 2, 3"""
 
 
+#: Lines of a task that joins and groups them by order; all of them are held at once, in sorters and hash maps.
+LINES = 500_000
+
+
+def parts_of(lines):
+    """As many tasks as the lines need (a count reads file footers only): tasks don't grow with the tables."""
+    return max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+
+
+def lines_of_orders(orders, lines, parts):
+    """Orders with their lines, dealt by order."""
+    return orders.repartition(parts, "o_orderkey").join(lines.repartition(parts, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+
+
 @query(f"""
 with m as ({MOVES}), s as (select id, token, sum(greatest(delta, 0))::bigint as plus, sum(greatest(-delta, 0))::bigint as minus, count(*) filter (delta > 0) as receivers, count(*) filter (delta < 0) as senders from m where delta <> 0 group by 1, 2)
 select id, token, least(plus, minus) as transferred, greatest(plus - minus, 0) as minted, greatest(minus - plus, 0) as burned, receivers, senders from s""")
 def token_reconciled(spark, d):
     """Balance changes of an operation as transfer, mint and burn: what both sides cover moved, the rest is new or gone."""
-    rows = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t(spark, d, "lineitem")
+    rows = lines_of_orders(t(spark, d, "orders"), lines, parts_of(lines))
     n = F.round("l_quantity").cast("bigint")
     moves = rows.groupBy(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("token"), "l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", -n).otherwise(n)).alias("delta")).where("delta <> 0")
     sums = moves.groupBy("id", "token").agg(F.sum(F.greatest("delta", F.lit(0))).alias("plus"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("minus"), F.count_if(F.col("delta") > 0).alias("receivers"), F.count_if(F.col("delta") < 0).alias("senders"))
@@ -206,7 +221,9 @@ with m as ({MOVES}), b as (select token, owner, sum(delta)::bigint as balance, m
 select token, count(*) filter (balance > 0) as holders, sum(greatest(balance, 0))::bigint as supply, max(balance) as largest, count(*) as ever_held from b group by token""")
 def token_holders(spark, d):
     """Holders are those with a balance above zero."""
-    rows = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t(spark, d, "lineitem")
+    parts = parts_of(lines)
+    rows = lines_of_orders(t(spark, d, "orders"), lines, parts).repartition(parts, "o_custkey", "l_suppkey")
     n = F.round("l_quantity").cast("bigint")
     own = rows.groupBy(F.col("o_custkey").alias("token"), "l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", -n).otherwise(n)).alias("balance"))
     return own.groupBy("token").agg(F.count_if(F.col("balance") > 0).alias("holders"), F.sum(F.greatest("balance", F.lit(0))).alias("supply"), F.max("balance").alias("largest"), F.count("*").alias("ever_held"))
