@@ -6,8 +6,9 @@ path of the highest probability under a character trigram model with a price for
 piece of two letters or more has one path, so what lies between two of them is decided on its own, and remembered. Tokens whose
 lattice has one path are themselves; a piece of several characters without any letter ends the run. Restored words and their prefixes are the features; a token's evidence is that of its best feature, a text's
 that of its strongest distinct token and of the next two, and a logistic curve turns them into a score. Features, characters and curve are learnt from
-all labelled rows; what a worker holds of them is bounded by ``FEATURES`` and ``TRIGRAMS``. Toxic rows are counted first, then an eighth
-of the clean ones: a feature of few toxic rows, or of many clean ones so far, can't become likely, so the rest is not counted for it.
+all labelled rows; what a worker holds of them is bounded by ``FEATURES`` and ``TRIGRAMS``. Toxic rows are counted first, then parts
+of the clean ones: a feature of few toxic rows, or of many clean ones so far, can't become sure, so the rest is not counted for it. Features
+that are only likely are counted if fewer than ``SUREST`` are sure.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ RUN = re.compile(r"(?s:(.)\1*)")
 EDGES = ".,;:?\"'()[]{}<>«»¡¿"
 #: Tokens that a worker remembers.
 KEPT = 100_000
+#: Features that a task counts before it passes their counts on.
+COUNTED = 250_000
+#: Bounds, by a hash of their texts, of the parts in which clean rows are counted; after each part fewer features are left to count.
+PARTS = (0, 1, 4, 8)
 
 
 def parted(text: str) -> list[str]:
@@ -210,9 +215,11 @@ class Restorer:
             found = self.gaps[key] = self.characters.between(left, tuple(middle), right)
         return found
 
-    def joined(self, texts: list[str]) -> tuple[list[str], list[list[tuple[int, int]]]]:
+    def joined(self, texts: list[str]) -> tuple[list[str], list[list[tuple[int, ...]]]]:
         """Lower-case texts without the gaps between plain pieces that the lattice leaves out; the places of pieces that are not plain.
 
+        A place is start and end of the piece, and of its window: from the blank before the word before to the one after the word after.
+
         All gaps of all texts are looked at together, each pair of letters before and after once.
         """
         rest = "\n\n".join(["", *texts, ""])
@@ -223,67 +230,66 @@ class Restorer:
         there[codes] = np.arange(len(codes))
         ids = there[data]
         chars = [chr(c) for c in codes]
-        of = lambda f: np.array([bool(f(c)) for c in chars])[ids]
-        letter, word, gap = of(str.isalpha), of(lambda c: c.isalnum()), of(lambda c: c in GAPS)
-        sign = of(lambda c: c in SIGNS)
+        kinds = (str.isalpha, str.isalnum, lambda c: c in GAPS, lambda c: c in SIGNS, SPACE.match)
+        kind = np.array([sum(bool(f(c)) << k for k, f in enumerate(kinds)) for c in chars], np.uint8)[ids]
+        letter, word, gap, sign, space = (kind & (1 << k) > 0 for k in range(len(kinds)))
+        data = np.where(space, np.uint32(ord("\n")), data)
         near = lambda x, k: np.roll(x, -k)  # noqa: E731  the two line ends at either end are neither
         odd = (word & ~letter) | (sign & (near(word, 1) | (near(gap, 1) & near(gap, -1)))) | (letter & (ids == near(ids, 1)) & (ids == near(ids, 2)))
         piece = word | (sign & odd)
         odd |= word & ~near(piece, 1) & ~near(piece, -1)
-        number = np.cumsum(piece & ~near(piece, -1)) - 1  # of the piece that stands here or before
+        number = np.cumsum(piece & ~near(piece, -1), dtype=np.int32) - 1  # of the piece that stands here or before
         strange = np.bincount(number[odd & piece], minlength=number[-1] + 1) > 0
         at = np.flatnonzero(gap & near(letter, 1) & near(letter, 2) & near(letter, -1) & near(letter, -2))
         if len(strange):
             at = at[~strange[number[at]] & ~strange[number[at] + 1]]
         bits = max(1, int(len(codes) - 1).bit_length())  # four letters of one batch's alphabet fit 64 bits
         key = sum((ids[at + k].astype(np.uint64) << np.uint64(bits * j) for j, k in enumerate((-2, -1, 1, 2))), np.zeros(len(at), np.uint64)) if bits <= 16 else at.astype(np.uint64)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        found = pa.array(key).dictionary_encode()
+        inverse, first = found.indices.to_numpy(), np.zeros(len(found.dictionary), np.int64)
+        first[inverse] = np.arange(len(at))  # any place of each
         left_out = np.array([not self.between(rest[at[i] - 2 : at[i]], [], rest[at[i] + 1 : at[i] + 3]) for i in first], bool)
         gone = at[left_out[inverse]] if len(at) else at
         starts = np.cumsum([2, *(len(t) + 2 for t in texts)])
         moved = lambda x: x - np.searchsorted(gone, x)
-        whole = np.delete(data, gone).tobytes().decode("utf-32-le", "surrogatepass")
+        left = np.delete(data, gone)
+        whole, blank = left.tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero((left == ord(" ")) | (left == ord("\n")))
         begin, end = moved(starts[:-1]), moved(starts[1:]) - 2
         edge = np.flatnonzero(piece & ~near(piece, -1))[strange], np.flatnonzero(piece & ~near(piece, 1))[strange] + 1
         doc = np.searchsorted(starts, edge[0], side="right") - 1
-        low, high = moved(edge[0]) - begin[doc], moved(edge[1]) - begin[doc]
-        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-        spans = [list(zip(low[i:j].tolist(), high[i:j].tolist(), strict=True)) for i, j in zip(cut, cut[1:])]
+        low, high = moved(edge[0]), moved(edge[1])
+        # Each text has two line ends before and after it, so there are two blanks on either side of any place in it.
+        first = np.maximum(blank[np.searchsorted(blank, low) - 2], begin[doc] - 1)
+        last = np.minimum(blank[np.searchsorted(blank, high) + 1], end[doc])
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        places = list(zip(*((x - begin[doc]).tolist() for x in (low, high, first, last)), strict=True))
+        spans = [places[i:j] for i, j in zip(cut, cut[1:])]
         return [whole[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)], spans
 
     @staticmethod
-    def windows(text: str, spans: list[tuple[int, int]]) -> Iterator[str]:
+    def windows(text: str, spans: list[tuple[int, ...]]) -> Iterator[str]:
         """The stretches of a text around ``spans``, with the word before and after; what lies outside reads as it stands."""
-
-        def before(i: int) -> int:
-            return max(text.rfind(" ", 0, max(i, 0)), text.rfind("\n", 0, max(i, 0)))
-
-        def after(i: int) -> int:
-            return min((k for k in (text.find(" ", i), text.find("\n", i)) if k >= 0), default=len(text))
-
         low, high = 0, -1
-        for a, b in spans:
+        for _, b, first, last in spans:
             if b <= high:
                 continue
-            first = before(before(a))  # one more word than the piece's own
             if high < 0 or first > high:
                 if high >= 0:
                     yield text[max(low, 0) : high]
                 low = first
-            high = after(after(b) + 1)
+            high = last
         if high >= 0:
             yield text[max(low, 0) : high]
 
     def tokens(self, texts: list[str]) -> list[set[str]]:
         """The distinct tokens of each text: raw ones, their parts, and the words of its runs."""
         texts = [t.lower() for t in texts]
-        plain = [SPACE.sub("\n", t) for t in texts]
         out = []
-        for text, before, whole, spans in zip(texts, plain, *self.joined(plain), strict=True):
+        for text, whole, places in zip(texts, *self.joined(texts), strict=True):
             found = {*text.split(), *parted(text)}
-            if whole != before:  # else the same parts again
+            if len(whole) != len(text):  # else the same parts again
                 found.update(parted(whole))
-            for window in self.windows(whole, spans):
+            for window in self.windows(whole, places):
                 for _, _, words in self.runs(window):
                     found.update(words.split())
             out.append(found)
@@ -345,13 +351,14 @@ def _counted(rows: DataFrame, characters: Characters, marks: bytes = b"") -> Dat
         for batch in text_batches(batches):
             lists = restorer.tokens(_texts(batch))
             if there:
-                every = [*set().union(*lists)]
-                words = (restorer.word(t) if odd else t.strip(EDGES) for t, odd in zip(every, odd_ones(every), strict=True))
-                known = {t: found for t, w in zip(every, words, strict=True) if (found := marked(there, w))}
+                every, known = [*set().union(*lists)], {}
+                for t, odd in zip(every, odd_ones(every), strict=True):
+                    if found := marked(there, restorer.word(t) if odd else t.strip(EDGES)):
+                        known[t] = found
                 some = set(known)
             for tokens in lists:
-                counts.update(set().union(*(known[t] for t in tokens & some)) if there else all_features({restorer.word(t) for t in tokens}))
-                if len(counts) > KEPT:
+                counts.update(set().union(*map(known.__getitem__, tokens & some)) if there else all_features({restorer.word(t) for t in tokens}))
+                if len(counts) > COUNTED:
                     yield out(counts)
                     counts = Counter()
         yield out(counts)
@@ -363,33 +370,35 @@ def _counted(rows: DataFrame, characters: Characters, marks: bytes = b"") -> Dat
 
 
 def marks_of(found: DataFrame) -> bytes:
-    """A bit for each of the features ``f`` and for how their words begin: two megabytes, however many there are."""
+    """A bit for each of the features ``f``, then one for each beginning of their words: four megabytes, however many there are."""
     begins = [F.substring(g, 1, k) for g in (F.col("f"), F.expr("if(startswith(f, '='), substring(f, 2), f)")) for k in PREFIXES]
-    every = found.select(F.explode(F.array("f", *begins)).alias("f"))
-    words = every.select((F.crc32(F.col("f").cast("binary")) % MARKS).alias("p")).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("bits"))
-    marks = np.zeros(MARKS // 32, "<u4")
+    every = found.select(F.explode(F.array(F.struct("f", F.lit(0).alias("kind")), *(F.struct(g.alias("f"), F.lit(1).alias("kind")) for g in begins))).alias("x"))
+    place = (F.crc32(F.col("x.f").cast("binary")) % MARKS + F.col("x.kind") * MARKS).alias("p")
+    words = every.select(place).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("bits"))
+    marks = np.zeros(MARKS // 16, "<u4")
     for r in words.toLocalIterator():
         marks[r.word] = r.bits
     return marks.tobytes()
 
 
 def marked(marks: bytes, word: str) -> list[str]:
-    """The features of a word that have marks; a beginning without one has no longer ones."""
+    """The features of a word that have marks; after a beginning that no such feature's word has there are no longer ones."""
 
-    def on(f: str) -> int:
-        at = zlib.crc32(f.encode()) % MARKS
+    def on(at: int) -> int:
         return marks[at >> 3] >> (at & 7) & 1
 
     out: list[str] = []
-    if not word or not on(word[:3]):
-        return out
-    for k in PREFIXES:
+    for k in PREFIXES if word else ():
         if len(word) < k:
             break
-        if not on(word[:k]):
+        at = zlib.crc32(word[:k].encode()) % MARKS
+        if not on(at + MARKS):
             return out
-        out.append(word[:k])
-    return [*out, "=" + word] if on("=" + word) else out
+        if on(at):
+            out.append(word[:k])
+    if on(zlib.crc32(("=" + word).encode()) % MARKS) and word:
+        out.append("=" + word)
+    return out
 
 
 def _weights(rows: DataFrame, characters: Characters) -> dict[str, float]:
@@ -402,18 +411,23 @@ def _weights(rows: DataFrame, characters: Characters) -> dict[str, float]:
     sure = 2 * (part(F.col("b"), F.lit(share)) + part(F.col("a"), F.lit(1 - share)))
     weight = F.log((F.col("b") + 0.5) / (toxic + 1)) - F.log((F.col("a") + 0.5) / (clean + 1))
     # A weight over 1 means a greater share of toxic rows than ``share``; there each clean row makes a feature less sure, and its weight less.
-    likely = (F.col("b") >= 2) & (sure >= LIKELY) & (weight > 1)
-    first = F.pmod(F.xxhash64("text"), F.lit(8)) == 0
-    often = _counted(rows.where("toxic = 1"), characters).select("f", F.col("n").alias("b"), F.lit(0).cast("long").alias("a"))
-    held = []
-    for part_of in (first, ~first):
-        often = written(often.where(likely), "toxicity-often")
-        held.append(often)
-        more = _counted(rows.where("toxic = 0").where(part_of), characters, marks_of(often))
-        often = often.join(more, "f", "left").select("f", "b", (F.col("a") + F.coalesce("n", F.lit(0))).alias("a"))
-    kept = often.where(likely).select("f", "b", weight.alias("w"), sure.alias("sure"))
-    found = kept.orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
-    drop(*held)
+    likely = lambda least: (F.col("b") >= 2) & (sure >= least) & (weight > 1)
+    counted = _counted(rows.where("toxic = 1"), characters).select("f", F.col("n").alias("b"), F.lit(0).cast("long").alias("a"))
+    counted = written(counted.where(likely(LIKELY)), "toxicity-often")
+    of, found = F.pmod(F.xxhash64("text"), F.lit(PARTS[-1])), []
+    for least in (SURE, LIKELY):
+        often, held = counted.where(likely(least)), []
+        for low, high in zip(PARTS, PARTS[1:]):
+            more = _counted(rows.where("toxic = 0").where((of >= low) & (of < high)), characters, marks_of(often))
+            often = often.join(more, "f", "left").select("f", "b", (F.col("a") + F.coalesce("n", F.lit(0))).alias("a"))
+            often = written(often.where(likely(least)), "toxicity-often")
+            held.append(often)
+        kept = often.select("f", "b", weight.alias("w"), sure.alias("sure"))
+        found = kept.orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
+        drop(*held)
+        if len(found) >= SUREST:
+            break  # the surest are all sure, so the less likely ones are not asked for
+    drop(counted)
     return {r.f: r.w for k, r in enumerate(found) if k < SUREST or r.sure >= SURE and r.b >= 3}
 
 
