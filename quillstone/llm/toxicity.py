@@ -50,6 +50,9 @@ SIGNS = "@$!|+(*"
 SPACE = re.compile(r"[^\S \n]")
 RUN = re.compile(r"(?s:(.)\1*)")
 EDGES = ".,;:?\"'()[]{}<>«»¡¿"
+EDGE = np.array([chr(c) in EDGES for c in range(255)] + [False])
+BEGINS = 1 << 20
+FACTORS = np.random.default_rng(5).integers(0, 2**63, 7, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Tokens that a worker remembers.
 KEPT = 100_000
 #: Features that a task counts before it passes their counts on.
@@ -145,12 +148,32 @@ class Characters:
         return text[: len(text) - len(right)]
 
 
+def coded(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all tokens, a line end after each and seven more at the end; the tokens' sizes with it."""
+    data = np.frombuffer("\n".join([*tokens, "\n" * 7]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return data, np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+
+
+def begin_marks(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a table of ``BEGINS`` for the first three to seven characters of each token; whether any of the seven is one of ``EDGES``."""
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+    edge, out = np.zeros(len(sizes), bool), []
+    for k in range(7):
+        c = np.where(sizes > k + 1, data[starts + k], np.uint32(0))
+        edge |= EDGE[np.minimum(c, 255)]
+        mark = mark + c * FACTORS[k]
+        out.append(mark >> np.uint64(44))
+    return np.array(out[2:], np.int64), edge
+
+
 def odd_ones(tokens: list[str]) -> np.ndarray:
     """Of each token whether ``ODD`` may fit; where this is false it does not."""
-    data = np.frombuffer("\n".join([*tokens, "\n"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return odd_codes(*coded(tokens))
+
+
+def odd_codes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     odd = np.isin(data, [ord(c) for c in SIGNS]) | (data - ord("0") < 10)  # unsigned: what is below wraps
     odd[:-2] |= (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends, before = np.cumsum(sizes), np.concatenate([[0], np.cumsum(odd)])
     return before[ends] > before[ends - sizes]
 
@@ -347,14 +370,15 @@ def _counted(rows: DataFrame, characters: Characters, marks: bytes = b"") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, there = sent.value
-        restorer, counts = Restorer(own), Counter()
+        restorer, counts, marked = Restorer(own), Counter(), Marked(there)
         for batch in text_batches(batches):
             lists = restorer.tokens(_texts(batch))
             if there:
-                every, known = [*set().union(*lists)], {}
-                for t, odd in zip(every, odd_ones(every), strict=True):
-                    if found := marked(there, restorer.word(t) if odd else t.strip(EDGES)):
-                        known[t] = found
+                every = [*set().union(*lists)]
+                words = [t.strip(EDGES) for t in every]
+                for k in np.flatnonzero(odd_ones(every)).tolist():
+                    words[k] = restorer.word(every[k])
+                known = {t: found for t, w in zip(every, words, strict=True) if (found := marked.of(w))}
                 some = set(known)
             for tokens in lists:
                 counts.update(set().union(*map(known.__getitem__, tokens & some)) if there else all_features({restorer.word(t) for t in tokens}))
@@ -381,24 +405,39 @@ def marks_of(found: DataFrame) -> bytes:
     return marks.tobytes()
 
 
-def marked(marks: bytes, word: str) -> list[str]:
-    """The features of a word that have marks; after a beginning that no such feature's word has there are no longer ones."""
+class Marked:
+    """The features of words that have ``marks``; what the first four letters tell is remembered."""
 
-    def on(at: int) -> int:
-        return marks[at >> 3] >> (at & 7) & 1
+    def __init__(self, marks: bytes):
+        self.marks, self.known = marks, {}
 
-    out: list[str] = []
-    for k in PREFIXES if word else ():
-        if len(word) < k:
-            break
-        at = zlib.crc32(word[:k].encode()) % MARKS
-        if not on(at + MARKS):
-            return out
-        if on(at):
-            out.append(word[:k])
-    if on(zlib.crc32(("=" + word).encode()) % MARKS) and word:
-        out.append("=" + word)
-    return out
+    def on(self, f: str, begins: bool = False) -> int:
+        at = zlib.crc32(f.encode()) % MARKS + MARKS * begins
+        return self.marks[at >> 3] >> (at & 7) & 1
+
+    def begun(self, word: str, sizes: tuple[int, ...]) -> tuple[list[str], bool]:
+        """The marked ones of a word's beginnings of ``sizes``, and whether longer ones or the whole word may have marks."""
+        out: list[str] = []
+        for k in sizes:
+            if len(word) < k:
+                break
+            if not self.on(word[:k], True):
+                return out, False
+            if self.on(word[:k]):
+                out.append(word[:k])
+        return out, True
+
+    def of(self, word: str) -> list[str]:
+        first = word[:4]
+        if first not in self.known:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            self.known[first] = self.begun(first, PREFIXES[:2])
+        out, more = self.known[first]
+        if more and word:
+            longer, more = self.begun(word, PREFIXES[2:])
+            out = out + longer
+        return [*out, "=" + word] if more and word and self.on("=" + word) else out
 
 
 def _weights(rows: DataFrame, characters: Characters) -> dict[str, float]:
@@ -439,15 +478,27 @@ class Model:
         self.restorer = Restorer(self.characters)
         #: How words with weighed features begin: as the feature does, that of a whole word without its mark.
         self.starts = {g[:k] for f in self.weights for g in (f, f[1:] if f[0] == "=" else f) for k in PREFIXES}
+        #: A word with a weighed feature begins with one, or with the first seven characters of a whole word that is one: a bit for each size.
+        self.begins = np.zeros(BEGINS, np.uint8)
+        whole = [f[1:] for f in self.weights if f[0] == "="]
+        for n, k in enumerate(PREFIXES):
+            some = [f for f in self.weights if len(f) == k] + whole * (k == PREFIXES[-1])
+            self.begins[begin_marks(*coded(some))[0][n]] |= 1 << n
 
     def weighed(self, tokens: set[str]) -> dict[str, float]:
         """The weight of each of ``tokens`` that has a weighed feature: that of its best one."""
         every, out = [*tokens], {}
-        for token, odd in zip(every, odd_ones(every), strict=True):
-            word = self.restorer.word(token) if odd else token.strip(EDGES)
-            if word and word[:3] in self.starts:
-                out[token] = self.best(word)
-        return {t: w for t, w in out.items() if w}
+        data, sizes = coded(every)
+        odd, (marks, edge) = odd_codes(data, sizes), begin_marks(data, sizes)
+        there = odd | edge
+        for k, at in enumerate(marks):
+            there |= self.begins[at] & (1 << k) > 0
+        for k in np.flatnonzero(there).tolist():
+            token = every[k]
+            word = self.restorer.word(token) if odd[k] else token.strip(EDGES)
+            if word and word[:3] in self.starts and (x := self.best(word)):
+                out[token] = x
+        return out
 
     def best(self, word: str) -> float:
         """The weight of a word's best feature; a beginning that no weighed word has ends the search."""

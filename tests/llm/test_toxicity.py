@@ -200,3 +200,33 @@ def test_counts_by_batch_and_marks(spark):
     some = {f: n for f, n in want.items() if n > 3}
     marks = T.marks_of(every.where("n > 3"))
     assert {r.f: r.n for r in T._counted(rows, characters, marks).collect()} == some  # no marks are shared here
+
+
+def test_beginnings_of_marked_features_are_not_counted(spark):
+    rows = spark.createDataFrame([("good vokkest vokkel vok",), ("vokkest, vokkes7",), ("vokk",)] * 3, "text string")
+    characters = T.Characters({"  v": 5, "vok": 5, "okk": 5, "kke": 5, "kes": 5, "est": 5, "st ": 5})
+    marks = T.marks_of(spark.createDataFrame([("=vokkest",), ("vokk",)], "f string"))
+    got = {r.f: r.n for r in T._counted(rows, characters, marks).collect()}
+    assert got == {"=vokkest": 6, "vokk": 9}
+
+
+def test_weights_are_those_of_plain_counts(spark):
+    """With fewer sure features than ``SUREST`` the likely ones count as well, with more of them they do not."""
+    rng = random.Random(6)
+    for bad in (["vokkest", "zurgling"], [f"{a}{b}xqzw" for a in "bcdfghkl" for b in "aeiou"]):
+        texts = [(" ".join([*rng.choices(["good", "table", "line", "maybe"], k=6), *([rng.choice(bad), rng.choice(["maybe", "odd"])] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(2000)]
+        rows = spark.createDataFrame(texts, "text string, toxic int")
+        characters = T.Characters({"  g": 9, "goo": 7})
+        restorer, counts, sizes = T.Restorer(characters), (Counter(), Counter()), Counter(t for _, t in texts)
+        for (_, toxic), tokens in zip(texts, restorer.tokens([t for t, _ in texts]), strict=True):
+            counts[toxic].update(T.all_features({restorer.word(t) for t in tokens}))
+        share, every = sizes[1] / len(texts), []
+        for f, b in counts[1].items():
+            a = counts[0][f]
+            part = lambda k, p, n=a + b: k * math.log(k / (n * p)) if k else 0.0
+            sure, weight = 2 * (part(b, share) + part(a, 1 - share)), math.log((b + 0.5) / (sizes[1] + 1)) - math.log((a + 0.5) / (sizes[0] + 1))
+            if b >= 2 and sure >= T.LIKELY and weight > 1:
+                every.append((-sure, f, b, weight))
+        want = {f: w for k, (sure, f, b, w) in enumerate(sorted(every)) if k < T.SUREST or -sure >= T.SURE and b >= 3}
+        got = T._weights(rows, characters)
+        assert got.keys() == want.keys() and all(got[f] == pytest.approx(w) for f, w in want.items())
