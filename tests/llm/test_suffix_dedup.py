@@ -115,3 +115,22 @@ def test_clashing_names_and_nulls(spark):
     assert [r[:4] for r in got] == [(1, 600, 600, 1), (1, 600, 600, 1), (None, 0, 0, 0)]
     out = D.without_repeats(docs, 400)
     assert out.columns == docs.columns and sorted((r.spans or "") for r in out.collect()) == ["", "q", "x"]
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of 51 to 90 words in two documents each: all of 400 bytes or more are removed, those with less stay, as brute force has it."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, sizes = [], {}
+    for n in range(51, 91):
+        passage = some(n)
+        for i in (2 * n, 2 * n + 1):
+            rows.append((i, f"{some(40)} {'XY'[i % 2]} {passage} {'XY'[i % 2]} {some(40)}"))
+            sizes[i] = len(passage) + 2  # the blanks around are shared as well
+    rows += [(i, some(150)) for i in range(1000, 1040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in D.deduplicated(docs).collect()}
+    assert sorted(map(tuple, got.values())) == sorted((i, *w) for (i, _), w in zip(rows, brute([t.encode() for _, t in rows], 400), strict=True))
+    assert {i for i, r in got.items() if r.n_removed} == {i for i, n in sizes.items() if n >= 400} and 0 < sum(n < 400 for n in sizes.values()) < len(sizes)
+    assert all(r.n_bytes == len(t) for (i, t) in rows for r in [got[i]])
