@@ -134,3 +134,12 @@ def test_planted_passages_go_from_400_bytes_on(spark):
     assert sorted(map(tuple, got.values())) == sorted((i, *w) for (i, _), w in zip(rows, brute([t.encode() for _, t in rows], 400), strict=True))
     assert {i for i, r in got.items() if r.n_removed} == {i for i, n in sizes.items() if n >= 400} and 0 < sum(n < 400 for n in sizes.values()) < len(sizes)
     assert all(r.n_bytes == len(t) for (i, t) in rows for r in [got[i]])
+
+
+def test_query_on_sample_documents(spark):
+    """The query's rows on the smallest tables are those of brute force; n_bytes is the whole text's length, whatever was removed."""
+    path = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(map(tuple, D.op1_suffix_dedup(spark, path).collect()))
+    assert got == sorted((i, *w) for (i, _), w in zip(docs, brute([(t or "").encode() for _, t in docs], 400), strict=True))
+    assert 0 < sum(r[2] > 0 for r in got) < len(got)
